@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
@@ -18,18 +19,18 @@ import numpy as np
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space and what follows it up to white space; or white space but the last before a word; or white space.
 _SPACED = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
-#: Pieces of only these characters are cut further here, as the tokenizers' own patterns cut them: printable ASCII and
-#: letters of Latin-1, which no normaliser but lower-casing changes.
-_PLAIN = re.compile("[\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Texts, or pieces, of only these characters are cut here as the tokenizers' own patterns cut them: printable ASCII and
+#: letters of Latin-1, which no normaliser but lower-casing changes, and ASCII white space.
+_PLAIN = re.compile("[\\t-\\r\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Fixed values of the public byte-level patterns: English contractions come first.
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _PARTS = {
-    "spaces": re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+"),
-    "words": re.compile(f"{_SHORT}|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+"),
+    "spaces": re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^ \\t-\\r{_LETTER}0-9]+|[ \\t-\\r]+(?![^ \\t-\\r])|[ \\t-\\r]+"),
+    "words": re.compile(f"{_SHORT}|[{_LETTER}]+|[0-9]|[^ \\t-\\r{_LETTER}0-9]+"),
 }
 #: Entries in a generation: pieces are cheap to make from their parts, parts are not.
-_PIECES, _KEPT_PARTS = 100_000, 400_000
+_PIECES, _KEPT_PARTS = 50_000, 500_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -51,7 +52,7 @@ class _Aged(dict):
         got = self._old.get(key)
         if got is None:
             got = self._make(key)
-        if len(key) <= 64:
+        if len(key) <= 48:
             if len(self) >= self._most:
                 self._old = dict(self)
                 self.clear()
@@ -71,7 +72,8 @@ class Encoder:
         self._marks = [str(s.content).encode() for s in self._tokenizer.get_added_tokens_decoder().values()]
         self._spaces = cut == "spaces"
         self._split = _PARTS[cut].findall
-        self._model = self._tokenizer.model
+        self._tokens = self._tokenizer.model.tokenize
+        self._code = "H" if self.dtype.itemsize == 2 else "I"  # little-endian machines
         self._bytes = dict(enumerate(_byte_alphabet()))
         self._parts = _Aged(self._part, _KEPT_PARTS)
         self._pieces = _Aged(self._piece, _PIECES)
@@ -80,20 +82,27 @@ class Encoder:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self._bytes)
-        return np.asarray([t.id for t in self._model.tokenize(mapped)], self.dtype).tobytes()
+        if part.isascii() and part.isprintable():
+            mapped = part.replace(" ", self._bytes[32])
+        else:
+            mapped = part.encode().decode("latin-1").translate(self._bytes)
+        return array(self._code, [t.id for t in self._tokens(mapped)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._parts.__getitem__, self._split(text if self._spaces else text.lower())))
 
     def _piece(self, piece) -> bytes:
         text = piece if self._spaces else piece.decode()
-        if not _PLAIN.fullmatch(text) or len(text) > 1000 or text.isspace():
-            return self._whole(text)
-        return b"".join(map(self._parts.__getitem__, self._split(text if self._spaces else text.lower())))
+        return self._plain(text) if len(text) < 1000 and _PLAIN.fullmatch(text) else self._whole(text)
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text (UTF-8), as bytes of ``dtype``."""
+        whole = text.decode()
         if any(m in text for m in self._marks):  # a special token's string may lie across pieces
-            return self._whole(text.decode())
-        return b"".join(map(self._pieces.__getitem__, _SPACED.findall(text.decode()) if self._spaces else text.split()))
+            return self._whole(whole)
+        if _PLAIN.fullmatch(whole):
+            return self._plain(whole)
+        return b"".join(map(self._pieces.__getitem__, _SPACED.findall(whole) if self._spaces else text.split()))
 
 
 _LOADED: dict[str, Encoder] = {}
