@@ -1,0 +1 @@
+"""A corpus retrieval and document-structure engine on Apache Spark."""

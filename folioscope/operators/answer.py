@@ -1,0 +1,182 @@
+"""Answers: retrieval by flags, context, generation through a provider, and a bounded self-check loop.
+
+Question-side work is small and runs on the driver; retrieval is one plan and one collect of at most MAX_ROWS rows.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.unicode import romanize
+from ..plans.providers import Providers
+from . import search
+
+MIN_CHUNKS = 3
+
+# Names of languages by code.
+LANGUAGE_NAMES = {"EN": "English", "FR": "French", "RU": "Russian", "DE": "German", "ES": "Spanish", "IT": "Italian", "PT": "Portuguese", "HI": "Hindi", "SA": "Sanskrit", "ZH": "Chinese", "JA": "Japanese", "AR": "Arabic"}
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """``chunks: guid, owner, language, parent, source_key, page, text, embedding``; ``pages: guid, text``."""
+
+    chunks: DataFrame
+    pages: DataFrame
+
+
+@dataclass(frozen=True)
+class Flags:
+    n: int = 5
+    multi_query: bool = False
+    hybrid: bool = False
+    hyde: bool = False
+    rerank: bool = False
+    rerank_top: int | None = None
+    expand: bool = False
+    max_sub: int = 4
+    max_page_chars: int | None = 6000
+    owner: object = None
+
+
+@dataclass(frozen=True)
+class Prepared:
+    language: str
+    question: str
+    query: str
+
+
+@dataclass
+class Answer:
+    question: str
+    retrieval_query: str
+    text: str
+    short: str | None
+    context: str
+    rows: list
+    pages: list
+    sources: list
+    grounding: list
+    used: dict
+    steps: int = 1
+    verified: bool | None = None
+    warnings: list = field(default_factory=list)
+
+
+def split_question(question: str, reply: str, most: int = 4) -> list[str]:
+    """Sub-questions of a model's reply: lines that begin with SUBQ:, in any case; none: the question itself."""
+    subs = [m[1].strip() for line in reply.strip().splitlines() if (m := re.match(r"\s*SUBQ:\s*(.+?)\s*$", line, re.I))]
+    return subs[:most] or [question]
+
+
+def understand(question: str, replies) -> Prepared:
+    """Language and query of a question: the JSON object in one of two replies, else the question with its romanised form."""
+    for _ in range(2):
+        reply = replies(question)
+        a, b = reply.find("{"), reply.rfind("}")
+        try:
+            got = json.loads(reply[a : b + 1]) if 0 <= a < b else None
+        except ValueError:
+            got = None
+        if isinstance(got, dict) and got.get("query"):
+            return Prepared(str(got.get("language", "EN")).upper(), question, str(got["query"]))
+    roman = romanize(question)
+    return Prepared("EN", question, question if roman == question else f"{question} {roman}")
+
+
+def verdict(reply: str) -> dict:
+    """A self-check's verdict; what can't be read counts as supported, so that a loop ends."""
+    fine = {"supported": True, "unsupported_claims": [], "refine_query": None}
+    m = re.search(r"\{.*\}", reply, re.DOTALL)
+    try:
+        got = json.loads(m[0]) if m else None
+    except ValueError:
+        got = None
+    if not isinstance(got, dict):
+        return fine
+    return {"supported": bool(got.get("supported", True)), "unsupported_claims": got.get("unsupported_claims") or [], "refine_query": got.get("refine_query") or None}
+
+
+def retrieve(spark: SparkSession, corpus: Corpus, question: str, providers: Providers, flags: Flags) -> tuple[DataFrame, dict]:
+    """Ranked candidates (``query_id, guid, rank`` and scores). Precedence: many questions, hybrid, a drafted document, dense."""
+    n = search.pool(flags.n) if flags.rerank else (flags.rerank_top or flags.n)
+    chunks = corpus.chunks
+    vec = lambda texts, kind: [(i, t, [float(x) for x in v]) for i, (t, v) in enumerate(zip(texts, providers.embedder.embed(texts, kind), strict=True))]
+    table = lambda rows: spark.createDataFrame(rows, "query_id int, text string, vector array<double>")
+    terms = lambda texts: spark.createDataFrame([(i, t) for i, q in enumerate(texts) for t in search.query_terms(q)] or [(0, "")], "query_id int, term string")
+    used = {"multi_query": flags.multi_query, "hybrid": flags.hybrid, "hyde": flags.hyde and not flags.multi_query and not flags.hybrid, "sub_questions": []}
+    if flags.multi_query:
+        subs = split_question(question, providers.text.reply("split", question), flags.max_sub)
+        used["sub_questions"] = subs
+        each = search.pool(n)
+        queries = table(vec(subs, "query"))
+        found = search.hybrid_search(chunks, queries, terms(subs), each, owner=flags.owner) if flags.hybrid else search.dense_search(chunks, queries, each, flags.owner)
+        return search.multi_query(found.select(F.lit(0).alias("question_id"), F.col("query_id").alias("sub"), "guid", "rank"), n), used
+    if flags.hybrid:
+        return search.hybrid_search(chunks, table(vec([question], "query")), terms([question]), n, owner=flags.owner), used
+    if flags.hyde:
+        draft = providers.text.reply("hyde", question)
+        return search.dense_search(chunks, table(vec([draft], "document")), n, flags.owner), used
+    return search.dense_search(chunks, table(vec([question], "query")), n, flags.owner), used
+
+
+def ask(spark: SparkSession, corpus: Corpus, question: str, providers: Providers, flags: Flags = Flags(), query: str | None = None) -> Answer:
+    """Retrieves, maybe reranks and expands, builds the context, and has it answered. One action."""
+    if not question.strip():
+        raise ValueError("the question is empty")
+    query = query or question
+    found, used = retrieve(spark, corpus, query, providers, flags)
+    rows = found.join(corpus.chunks.select("guid", "owner", "parent", "source_key", "page", "text"), "guid")
+    top = flags.rerank_top or flags.n
+    if flags.rerank:
+        rows = search.rerank(rows, providers.reranker.score(query, F.col("text")), top)
+    rows = rows.filter(F.col("rank") <= top)
+    if flags.expand:
+        page = search.expand_to_pages(rows, corpus.pages, flags.max_page_chars)
+        rows = page.join(rows.drop("text", "rank", "parent"), ["query_id", "guid"])
+    got = sorted((r.asDict() for r in rows.collect()), key=lambda r: r["rank"])  # MAX_ROWS at most
+    parts = []
+    for i, r in enumerate(got, 1):
+        label = f"[Excerpt {i} -- {r['source_key']}"
+        if r.get("expanded_from_parent"):
+            k = len(r["matched_children"])
+            label += f" | expanded from {k} matched chunk{'s' * (k != 1)}"
+        if r.get("rerank_score") is not None:
+            label += f" | relevance {r['rerank_score']:.2f}"
+        parts.append(f"{label}]\n{r['text']}")
+    context = "\n\n".join(parts)
+    text = providers.text.reply("answer", f"Question: {question}\n\nExcerpts:\n{context}")
+    m = re.search(r"^\s*Short answer:\s*(Yes|No)\s*$", text, re.I | re.M)
+    return Answer(
+        question, query, text, m[1].capitalize() if m else None, context, got, sorted({r["page"] for r in got if r["page"] is not None}), sorted({r["source_key"] for r in got}),
+        grounding(text, [r["text"] for r in got]), used, warnings=["few excerpts"] * (len(got) < MIN_CHUNKS),
+    )
+
+
+def grounding(answer: str, excerpts: list[str], top: int = 12) -> list[str]:
+    """The driver's twin of ``functions.text.grounding_words``."""
+    find = lambda t: [w for w in re.findall("[a-z']+", t.lower()) if len(w) > 2]
+    known = set(find(" ".join(excerpts)))
+    return list(dict.fromkeys(w for w in find(answer) if w in known and w not in T.STOPWORDS))[:top]
+
+
+def ask_with_reasoning(spark: SparkSession, corpus: Corpus, question: str, providers: Providers, flags: Flags = Flags(), max_steps: int = 4, self_check: bool = True) -> Answer:
+    """Asks, has the answer checked against its excerpts, and asks again with a refined query, ``max_steps`` times at most."""
+    query = question
+    for step in range(1, max_steps + 1):
+        got = ask(spark, corpus, question, providers, flags, query)
+        got.steps = step
+        if not self_check:
+            return got
+        v = verdict(providers.text.reply("check", f"Question: {question}\n\nExcerpts:\n{got.context}\n\nDraft answer:\n{got.text}"))
+        got.verified = v["supported"]
+        if v["supported"] or not v["refine_query"] or step == max_steps:
+            return got
+        query = v["refine_query"]
+    raise ValueError("max_steps must be 1 or more")
