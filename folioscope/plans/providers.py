@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..operators.search import overlap_score
 
@@ -97,7 +98,7 @@ def with_retry(call: Callable, attempts: int = 5, base: float = 2.0, retryable:
 
 def embed_column(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int = 20) -> DataFrame:
     """Adds ``embedding``: texts go to the provider in batches, from each partition, with retries."""
-    schema = rows.schema.add("embedding", "array<double>")
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -16,14 +16,14 @@ from folioscope.sources import pages as P
 @pytest.fixture(scope="module")
 def corpus(spark):
     texts = ["soluble fiber lowers cholesterol", "insoluble fiber helps digestion", "protein builds muscle", "water is life"]
-    vec = providers.HashEmbedder(16).embed(texts)
+    vec = providers.HashEmbedder(256).embed(texts)
     rows = [(f"g{i}", "o", "en", f"p{i // 2}", "book", 40 + i // 2, t, v) for i, (t, v) in enumerate(zip(texts, vec, strict=True))]
     chunks = spark.createDataFrame(rows, "guid string, owner string, language string, parent string, source_key string, page int, text string, embedding array<double>")
     return Corpus(chunks, spark.createDataFrame([("p0", "page zero on fiber"), ("p1", "page one")], "guid string, text string"))
 
 
 def offline(**replies):
-    return providers.Providers(providers.HashEmbedder(16), providers.OverlapReranker(), providers.RecordedText({k: v if isinstance(v, list) else [v] for k, v in replies.items()}))
+    return providers.Providers(providers.HashEmbedder(256), providers.OverlapReranker(), providers.RecordedText({k: v if isinstance(v, list) else [v] for k, v in replies.items()}))
 
 
 def test_ask_modes(spark, corpus):
