@@ -127,8 +127,8 @@ def members(f, size: int) -> dict[str, Member]:
     """The stored members of a ZIP file, from its directories; ``f`` has ``read_at(bytes, place)``. A few small reads."""
     tail_at = max(0, size - (1 << 16) - 22 - 20)
     tail = f.read_at(size - tail_at, tail_at)
-    end = tail.rfind(END)
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    end = tail.rfind(END, 0, max(0, len(tail) - 18))
+    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):  # its comment ends the file
         end = tail.rfind(END, 0, end)
     if end < 0:
         raise ValueError("not a ZIP file: no end record")
