@@ -2,8 +2,8 @@
 
 Each class, toxic and ordinary, has a bigram model that backs off to the class's words, and these to counts that both
 classes share: how many documents of the whole corpus have a word, its diversity of contexts counted by document.  A
-rare expression, one with fewer than ``least`` occurrences in the labelled texts, has no class of its own: what both
-models say of it comes from the shared counts.
+rare expression, one with fewer than ``least`` occurrences in the labelled texts, isn't judged by itself but by its stem,
+the first five bytes or else four, whose models back off to the classes' common counts; a rare stem says nothing.
 
 A text's evidence is the difference of the two log-likelihoods, normalised by length, over the whole text and over its
 worst stretch of ``stretch`` words; a logistic curve, fitted on labelled texts that the models haven't seen, turns it
@@ -58,19 +58,39 @@ _BARE = np.arange(256, dtype=np.uint8)
 _BARE[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 32
 
 
-def _words(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row, word hashes, and bigram hashes (as many less one) of each text of a column."""
+_LOW = np.arange(256, dtype=np.uint64)
+_LOW[65:91] += 32
+STEMS = (5, 4)  # bytes
+
+
+def _stems(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` bytes of each word, A-Z as a-z, as a mixed number."""
+    out = np.full(len(starts), k, np.uint64)
+    for j in range(k):
+        at = starts + j
+        out = out << np.uint64(8) | np.where(at < ends, _LOW[b[np.minimum(at, len(b) - 1)]], np.uint64(0))
+    return mix(out)
+
+
+def _units(column) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Row and units of each text of a column: hashes of words, of bigrams (as many less one), and of stems."""
     data, offsets = binary_buffers(column)
     for a, b in pieces(offsets):
         lo = offsets[a]
-        h, _, _, of = hashed_words(_bare(data[lo : offsets[b]]), offsets[a : b + 1] - lo)
+        bare = _bare(data[lo : offsets[b]])
+        h, starts, ends, of = hashed_words(bare, offsets[a : b + 1] - lo)
         two = _pair(h[:-1], h[1:]) if len(h) > 1 else h[:0]
+        stems = [_stems(bare, starts, ends, k) if len(h) else h for k in STEMS]
         for i in range(b - a):
-            yield a + i, h[of[i] : of[i + 1]], two[of[i] : max(of[i], of[i + 1] - 1)]
+            s, e = of[i], of[i + 1]
+            yield a + i, (h[s:e], two[s : max(s, e - 1)], *(x[s:e] for x in stems))
+
+
+WORD, PAIR = 0, 1  # kinds of units; stems are 2 and 3
 
 
 def _class_counts(texts: DataFrame) -> DataFrame:
-    """``bytes, toxic`` to ``gram, n_toxic, n_ordinary, left``: counts of words and bigrams; ``left``: of a bigram, its first word.
+    """``bytes, toxic`` to ``gram, kind, left, n_toxic, n_ordinary``: counts of all units; ``left``: of a bigram, its first word.
 
     Tasks add up what a batch holds, and an aggregation the rest.
     """
@@ -79,27 +99,24 @@ def _class_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             got: dict[tuple, list] = {}
-            for i, one, two in _words(batch.column(0)):
-                got.setdefault((False, toxic[i]), []).append(one)
-                got.setdefault((True, toxic[i]), []).append(two)
-                got.setdefault((None, toxic[i]), []).append(one[:-1])
-            for pairs in (False, True):
-                for is_toxic in (True, False):
-                    if (pairs, is_toxic) not in got:
-                        continue
-                    grams = np.concatenate(got[pairs, is_toxic])
-                    left = np.concatenate(got[None, is_toxic]) if pairs else np.zeros(len(grams), np.uint64)
-                    if not len(grams):
-                        continue
-                    gram, first, n = np.unique(grams, return_index=True, return_counts=True)
-                    n = n.astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram.view(np.int64)), pa.array(left[first].view(np.int64)), pa.array(np.full(len(gram), pairs)), pa.array(n * is_toxic), pa.array(n * (not is_toxic))],
-                        names=["gram", "left", "pair", "n_toxic", "n_ordinary"],
-                    )
-
-    found = texts.select("bytes", "toxic").mapInArrow(run, "gram long, left long, pair boolean, n_toxic long, n_ordinary long")
-    return found.groupBy("gram", "pair").agg(F.first("left").alias("left"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
+            for i, units in _units(batch.column(0)):
+                for kind, u in enumerate((*units, units[0][:-1])):  # the last: bigrams' first words
+                    got.setdefault((kind, toxic[i]), []).append(u)
+            firsts = 2 + len(STEMS)
+            for (kind, is_toxic), parts in got.items():
+                grams = np.concatenate(parts)
+                if kind == firsts or not len(grams):
+                    continue
+                gram, at, n = np.unique(grams, return_index=True, return_counts=True)
+                left = np.concatenate(got[firsts, is_toxic])[at] if kind == PAIR else np.zeros(len(gram), np.uint64)
+                n = n.astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram.view(np.int64)), pa.array(left.view(np.int64)), pa.array(np.full(len(gram), kind, np.int32)), pa.array(n * is_toxic), pa.array(n * (not is_toxic))],
+                    names=["gram", "left", "kind", "n_toxic", "n_ordinary"],
+                )
+
+    found = texts.select("bytes", "toxic").mapInArrow(run, "gram long, left long, kind int, n_toxic long, n_ordinary long")
+    return found.groupBy("gram", "kind").agg(F.first("left").alias("left"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
@@ -107,7 +124,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.unique(one) for _, one, _ in _words(batch.column(0))]
+            each = [np.unique(units[0]) for _, units in _units(batch.column(0))]
             if each:
                 gram, n = np.unique(np.concatenate(each), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "docs"])
@@ -115,62 +132,76 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_bytes().alias("bytes")).mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
 
 
+CLASSES = ("n_toxic", "n_ordinary")
+
+
 class Model:
-    """Both classes' models as sorted arrays: log ratios of words and of bigrams that have a class of their own."""
+    """Both classes' models as sorted arrays: log ratios of the words, bigrams and stems that have a class of their own."""
 
-    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], totals: dict[str, float], spectrum: dict[tuple, int]):
+    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], stems: list[dict[str, np.ndarray]], totals: dict, spectrum: dict):
         order = np.argsort(words["gram"])
         self.word = words["gram"][order]
-        counts = {c: words[c][order].astype(float) for c in ("n_toxic", "n_ordinary")}
-        shared = (words["docs"][order] + 1.0) / totals["docs"]
-        # Kneser-Ney discounts from the numbers of words that occur once and twice
-        self.p, self.rest = {}, {}
-        for c, n in counts.items():
-            d = self.discount(spectrum, False, c)
-            total = max(totals[c, False], 1.0)
-            kept = np.maximum(n - d, 0.0)
-            # what is taken off, and all that is too rare to stand for itself, goes by the shared counts
-            back = max(1e-6, 1.0 - kept.sum() / total)
-            self.p[c] = kept / total + back * shared
-            self.rest[c] = back
-        self.ratio = np.log(self.p["n_toxic"]) - np.log(self.p["n_ordinary"])
-        self.unseen = float(np.log(self.rest["n_toxic"]) - np.log(self.rest["n_ordinary"]))
-        # bigrams whose second word has a class of its own; contexts' counts are their words' counts
+        counts = {c: words[c][order].astype(float) for c in CLASSES}
+        p, rest = self.backed_off(counts, WORD, (words["docs"][order] + 1.0) / totals["docs"], totals, spectrum)
+        self.ratio = np.log(p["n_toxic"]) - np.log(p["n_ordinary"])
+        self.unseen = float(np.log(rest["n_toxic"]) - np.log(rest["n_ordinary"]))
+        self.stems = []
+        for kind, t in enumerate(stems, 2):
+            order = np.argsort(t["gram"])
+            n = {c: t[c][order].astype(float) for c in CLASSES}
+            both = sum(n.values()) / max(1.0, sum(totals.get((c, kind), 0.0) for c in CLASSES))
+            q, _ = self.backed_off(n, kind, both, totals, spectrum)
+            self.stems.append((t["gram"][order], np.log(q["n_toxic"]) - np.log(q["n_ordinary"])))
+        # bigrams of words that have a class of their own; a context's count is its word's
         order = np.argsort(pairs["gram"])
-        pair, left, right = pairs["gram"][order], pairs["left"][order], pairs["right"][order]
-        at_left, at_right = np.searchsorted(self.word, left), np.searchsorted(self.word, right)
+        left, right = np.searchsorted(self.word, pairs["left"][order]), np.searchsorted(self.word, pairs["right"][order])
         logs = []
-        for c in ("n_toxic", "n_ordinary"):
-            d = self.discount(spectrum, True, c)
+        for c in CLASSES:
+            d = self.discount(spectrum, PAIR, c)
             n = pairs[c][order].astype(float)
-            context = np.maximum(counts[c][at_left], n)
-            followers = pairs[f"k_{c}"][order].astype(float)  # different words seen after the first
-            weight = np.where(context > 0, np.minimum(1.0, d * np.maximum(followers, 1) / np.maximum(context, 1)), 1.0)
-            logs.append(np.log(np.where(context > 0, np.maximum(n - d, 0) / np.maximum(context, 1), 0) + weight * self.p[c][at_right]))
-        self.pair, self.pair_ratio = pair, logs[0] - logs[1]
+            context = np.maximum(counts[c][left], n)
+            followers = np.maximum(pairs[f"k_{c}"][order], 1).astype(float)  # different words seen after the first
+            seen = context > 0
+            weight = np.where(seen, np.minimum(1.0, d * followers / np.maximum(context, 1)), 1.0)
+            logs.append(np.log(np.where(seen, np.maximum(n - d, 0) / np.maximum(context, 1), 0) + weight * p[c][right]))
+        self.pair, self.pair_ratio = pairs["gram"][order], logs[0] - logs[1]
         self.curve = np.zeros(1 + N_FEATURES)
 
+    @classmethod
+    def backed_off(cls, counts: dict, kind: int, shared: np.ndarray, totals: dict, spectrum: dict) -> tuple[dict, dict]:
+        """Each class's probabilities: counts less the Kneser-Ney discount, and what was taken off by the shared counts."""
+        p, rest = {}, {}
+        for c, n in counts.items():
+            total = max(totals.get((c, kind), 0.0), 1.0)
+            kept = np.maximum(n - cls.discount(spectrum, kind, c), 0.0)
+            rest[c] = max(1e-6, 1.0 - kept.sum() / total)  # with all that is too rare to stand for itself
+            p[c] = kept / total + rest[c] * shared
+        return p, rest
+
     @staticmethod
-    def discount(spectrum: dict[tuple, int], pair: bool, c: str) -> float:
-        n1, n2 = spectrum.get((pair, c, 1), 0), spectrum.get((pair, c, 2), 0)
+    def discount(spectrum: dict, kind: int, c: str) -> float:
+        n1, n2 = spectrum.get((kind, c, 1), 0), spectrum.get((kind, c, 2), 0)
         return n1 / (n1 + 2 * n2) if n1 else 0.5
 
-    def ratios(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Each word's log ratio, given the word before."""
-        if not len(self.word):
-            return np.zeros(len(one))
-        at = np.minimum(np.searchsorted(self.word, one), len(self.word) - 1)
-        out = np.where(self.word[at] == one, self.ratio[at], self.unseen)
+    def ratios(self, units: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Each word's log ratio, given the word before; of a rare word, its stem's."""
+        one, two, *stems = units
+        out = np.full(len(one), self.unseen)
+        tables = [(x, g, r) for x, (g, r) in zip(stems[::-1], self.stems[::-1], strict=True)] + [(one, self.word, self.ratio)]
+        for x, gram, ratio in tables:
+            if len(gram):
+                at = np.minimum(np.searchsorted(gram, x), len(gram) - 1)
+                out = np.where(gram[at] == x, ratio[at], out)
         if len(self.pair) and len(two):
             at = np.minimum(np.searchsorted(self.pair, two), len(self.pair) - 1)
             out[1:] = np.where(self.pair[at] == two, self.pair_ratio[at], out[1:])
         return out
 
-    def features(self, one: np.ndarray, two: np.ndarray, how: Settings) -> np.ndarray:
-        """The whole text's mean log ratio, and its worst stretches'."""
-        if not len(one):
+    def features(self, units: tuple[np.ndarray, ...], how: Settings) -> np.ndarray:
+        """The whole text's mean log ratio, its worst stretch's, and its highest words'; last, the length."""
+        if not len(units[0]):
             return np.zeros(N_FEATURES)
-        r = self.ratios(one, two)
+        r = self.ratios(units)
         sums = np.concatenate(([0.0], np.cumsum(r)))
         n, m = len(r), min(len(r), how.stretch)
         starts = np.minimum(np.arange(0, max(1, n - m + how.stretch_step), how.stretch_step), n - m)
@@ -185,8 +216,20 @@ class Model:
 N_FEATURES = 5
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """A logistic curve by Newton's method."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A logistic curve that rises with every measure of toxicity: measures that would lower it are left out, one by one."""
+    use = list(range(N_FEATURES))
+    while True:
+        w = _newton(x[:, use], y, weight)
+        low = min(((w[1 + k], f) for k, f in enumerate(use) if f < N_FEATURES - 1), default=(0, 0))
+        if low[0] >= 0:
+            out = np.zeros(1 + N_FEATURES)
+            out[[0, *(1 + f for f in use)]] = w
+            return out
+        use.remove(low[1])
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
     w = np.zeros(x.shape[1])
     for _ in range(60):
@@ -214,26 +257,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, how: Settings
     labelled = lambda folds, n: texts.join(F.broadcast(_sample(labels, folds, n)), "doc_id")  # noqa: E731  the sample's size is bounded
     counts = staged(spark, _class_counts(labelled((0, 1), how.per_class)), "grams")
     spectrum, totals = {}, {}
-    for c in ("n_toxic", "n_ordinary"):
-        for row in counts.filter(F.col(c) > 0).groupBy("pair").agg(F.sum(c).alias("n"), *[F.sum((F.col(c) == k).cast("long")).alias(f"n{k}") for k in (1, 2)]).collect():
-            totals[c, row["pair"]] = float(row["n"])
-            spectrum[row["pair"], c, 1], spectrum[row["pair"], c, 2] = row["n1"], row["n2"]
-    if not all(totals.get((c, False)) for c in ("n_toxic", "n_ordinary")):
+    for c in CLASSES:
+        for row in counts.filter(F.col(c) > 0).groupBy("kind").agg(F.sum(c).alias("n"), *[F.sum((F.col(c) == k).cast("long")).alias(f"n{k}") for k in (1, 2)]).collect():
+            totals[c, row["kind"]] = float(row["n"])
+            spectrum[row["kind"], c, 1], spectrum[row["kind"], c, 2] = row["n1"], row["n2"]
+    if not all(totals.get((c, WORD)) for c in CLASSES):
         return None
     corpus = staged(spark, shared_counts(docs), "shared")
     totals["docs"] = float(corpus.agg(F.sum("docs")).first()[0])
-    common = F.col("n_toxic") + F.col("n_ordinary") >= how.least
-    words = counts.filter(~F.col("pair") & common).join(corpus, "gram", "left").select("gram", "n_toxic", "n_ordinary", F.coalesce("docs", F.lit(0)).alias("docs")).toArrow()
-    followers = counts.filter("pair").groupBy("left").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"k_{c}") for c in ("n_toxic", "n_ordinary")])
-    pairs = counts.filter(F.col("pair") & common).join(followers, "left").select("gram", "left", "n_toxic", "n_ordinary", "k_n_toxic", "k_n_ordinary").toArrow()
-    array = lambda t: {c: t[c].to_numpy() for c in t.column_names}  # noqa: E731  as many rows as the bounded sample has frequent expressions
-    w, p = array(words), array(pairs)
-    for d in (w, p):
-        for c in ("gram", "left"):
-            if c in d:
-                d[c] = d[c].view(np.uint64)
-    p = _with_right(p, np.sort(w["gram"]))
-    model = Model(w, p, totals, spectrum)
+    common = counts.filter(F.col("n_toxic") + F.col("n_ordinary") >= how.least)
+    kind = lambda k: common.filter(F.col("kind") == k)
+    words = kind(WORD).join(corpus, "gram", "left").select("gram", *CLASSES, F.coalesce("docs", F.lit(0)).alias("docs"))
+    followers = counts.filter(F.col("kind") == PAIR).groupBy("left").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"k_{c}") for c in CLASSES])
+    pairs = kind(PAIR).join(followers, "left").select("gram", "left", *CLASSES, "k_n_toxic", "k_n_ordinary")
+    tables = [words, pairs, *(kind(2 + k).select("gram", *CLASSES) for k in range(len(STEMS)))]
+    w, p, *stems = (_arrays(t.toArrow()) for t in tables)  # as many rows as the bounded sample has frequent expressions
+    model = Model(w, _with_right(p, np.sort(w["gram"])), stems, totals, spectrum)
     sent = spark.sparkContext.broadcast(model)
     fit = _features(labelled((3,), how.per_class_fit).select("bytes", "toxic"), sent, how).toArrow()
     x, y = np.stack(fit["x"].to_numpy()) if fit.num_rows else np.zeros((0, N_FEATURES)), fit["toxic"].to_numpy().astype(float)
@@ -245,6 +284,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, how: Settings
     return model
 
 
+def _arrays(t: pa.Table) -> dict[str, np.ndarray]:
+    return {c: t[c].to_numpy().view(np.uint64) if c in ("gram", "left") else t[c].to_numpy() for c in t.column_names}
+
+
 def _toxic_share(labels: DataFrame) -> float:
     got = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id").cast("long")) != 2)).agg(F.avg("toxic")).first()[0]
     return float(got or 0)
@@ -272,7 +315,7 @@ def _features(texts: DataFrame, sent, how: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
             model = sent.value
-            x = [model.features(one, two, how).tolist() for _, one, two in _words(batch.column(0))]
+            x = [model.features(units, how).tolist() for _, units in _units(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     return texts.mapInArrow(run, "toxic boolean, x array<double>")
@@ -291,7 +334,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
     def run(batches):
         for batch in batches:
             m = sent.value
-            x = np.array([m.features(one, two, how) for _, one, two in _words(batch.column(2))]).reshape(-1, N_FEATURES)
+            x = np.array([m.features(units, how) for _, units in _units(batch.column(2))]).reshape(-1, N_FEATURES)
             s = m.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
