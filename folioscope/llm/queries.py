@@ -100,7 +100,24 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN size > 0 THEN CAST(floor(start + r * rate) - floor(start + (r - 1) * rate) AS BIGINT) * size ELSE 0 END AS taken
 FROM ranked
 """,
-    "op4_chat_formatting": "",
+    # the template's marks and control strings are fixed values of chat.DEFAULT
+    "op4_chat_formatting": """
+WITH probe(conv_id, turn, role, text) AS (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM probe)),
+e AS (
+  SELECT *, length(text) + (length(text) - length(replace(text, chr(92), '')))
+    + list_sum(list_transform(['<<SYS>>', '<</SYS>>', '<s>', '[INST]', '[/INST]', '[OUT]', '</s>', '<<ROLE>>', '<</ROLE>>', '<<END>>'], lambda c: (length(text) - length(replace(text, c, ''))) // length(c)))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 16 WHEN 'assistant' THEN 9 ELSE 24 + length(role) END AS chars,
+    lag(role) OVER w AS before, lead(role) OVER w AS after
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE FALSE END)
+    AND bool_and(after IS NOT NULL OR role IN ('assistant', 'user')) AS valid
+FROM e GROUP BY conv_id
+""",
     "op6_quality_rules": rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (
@@ -140,6 +157,11 @@ SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN d.last IS NOT NULL AND p.page_id IS DISTINCT FROM d.last THEN d.last END AS refers_to
 FROM p LEFT JOIN d ON p.digest = d.digest AND p.n = d.n
 """,
-    "op3_nearest_neighbours": "",
+    # exact; the curves' windows hold all vectors of tables up to their width
+    "op3_nearest_neighbours": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
+""",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
