@@ -41,7 +41,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "many_symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "n_lines >= 2 AND 100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule(4, "short_mean_word", "10 * word_chars < 25 * n_words"),
     Rule(5, "long_mean_word", "10 * word_chars > 120 * n_words"),
     Rule(6, "few_alphabetic_words", "100 * n_alpha_words < 70 * n_words"),

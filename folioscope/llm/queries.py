@@ -141,7 +141,7 @@ words AS (
   FROM t LEFT JOIN base USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN lines USING (rid)
 ), masked AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 2 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN 10 * word_chars < 25 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * word_chars > 120 * n_words THEN 32 ELSE 0 END
     + CASE WHEN 100 * n_alpha_words < 70 * n_words THEN 64 ELSE 0 END + CASE WHEN n_words > 100000 THEN 128 ELSE 0 END)::BIGINT AS failed_rules
   FROM ledger
