@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product, over shifted space-filling curves.
 
 Vectors are projected to a few dimensions, shifted, and ordered along a Hilbert curve; several projections and shifts
-give several orders.  Spark deals each order by range of key into runs of about ``run`` vectors.  A query goes to its own
+give several orders.  Spark deals each order by range of key, and prefix sums cut it into runs of ``run`` vectors.  A query goes to its own
 run and to those within ``window / 2`` vectors to either side; a run and its queries are compared as matrices, each run
 gives a query's best, and all lists merge, each vector once.
 
@@ -112,9 +112,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
     seen = _stack(sample["v"].combine_chunks())
     rng = np.random.default_rng(how.seed)
     frames = [Frame(seen, how.dims, rng) for _ in range(how.orders)]
-    placed = staged(spark, _placed(rows, frames, max(1, -(-total // how.run))), "curves")
-    runs = placed.agg(F.max("run")).first()[0] + 1
-    side = -(-how.window * runs // (2 * total))
+    placed = _in_runs(spark, staged(spark, _placed(rows, frames, max(1, -(-total // how.run))), "curves"), how.run)
+    runs = -(-total // how.run)
+    side = -(-how.window // (2 * how.run))
     block = placed.groupBy("ord", "run").agg(F.collect_list(F.struct("vec_id", "v")).alias("c"))
     # at the ends of an order the window moves inwards
     width = min(runs, 2 * side + 1)
@@ -146,7 +146,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
 
 
 def _placed(rows: DataFrame, frames: list[Frame], runs: int) -> DataFrame:
-    """``ord, run, vec_id, v``: every vector's run in each order. Equal keys are dealt on by id, so they may span runs."""
+    """``ord, part, key, vec_id, v``: every vector in each order, dealt by range of key and id."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +160,22 @@ def _placed(rows: DataFrame, frames: list[Frame], runs: int) -> DataFrame:
     out = None
     for o in range(len(frames)):
         dealt = keyed.select("vec_id", "v", F.col("keys")[o].alias("key")).repartitionByRange(runs, "key", "vec_id")
-        part = dealt.select(F.lit(o).alias("ord"), F.spark_partition_id().alias("run"), "vec_id", "v")
+        part = dealt.select(F.lit(o).alias("ord"), F.spark_partition_id().alias("part"), "key", "vec_id", "v")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _in_runs(spark: SparkSession, placed: DataFrame, size: int) -> DataFrame:
+    """``ord, run, vec_id, v``: places along each order, from the partitions' counts and places within them, cut into runs of one size.
+
+    Equal keys are told apart by id, so a key that many vectors share spans runs.
+    """
+    earlier = Window.partitionBy("ord").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("ord", "part").agg(F.count(F.lit(1)).alias("n")).select("ord", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("ord", "part").orderBy("key", "vec_id")) - 1
+    ranked = placed.withColumn("within", within).join(counts, ["ord", "part"])
+    return staged(spark, ranked.select("ord", F.floor((F.col("before") + F.col("within")) / size).cast("int").alias("run"), "vec_id", "v"), "runs")
+
+
 def _members(structs) -> tuple[np.ndarray, np.ndarray]:
     return structs.field(0).to_numpy(), _stack(structs.field(1))
