@@ -43,7 +43,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, and survives the loss of any executor."""
     path = new_path(spark, label)
-    with _shuffles_freed(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folioscope_path = path
@@ -51,15 +51,17 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession):
-    """Within it, an action's shuffle files go when it ends: what it made is in the shared folder."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _writing(spark: SparkSession):
+    """Within it, an action's shuffle files go when it ends: what it made is in the shared folder. Arrow batches hold texts and blocks, so they are kept small."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {k: spark.conf.get(k, None) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
@@ -101,7 +103,7 @@ _POW: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POW or len(_POW["p"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, (1 << 19) + 1)
         for k, r in (("p", _R), ("i", _R_INV)):
             a = np.full(m, r, np.uint64)
             a[0] = 1
@@ -133,7 +135,7 @@ def binary_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes; a longer row stands alone."""
     at, n = 0, len(offsets) - 1
     while at < n:

@@ -30,7 +30,7 @@ _PARTS = {
     "words": re.compile(f"{_SHORT}|[{_LETTER}]+|[0-9]|[^ \\t-\\r{_LETTER}0-9]+"),
 }
 #: Entries in a generation: pieces are cheap to make from their parts, parts are not.
-_PIECES, _KEPT_PARTS = 50_000, 500_000
+_PIECES, _KEPT_PARTS = 20_000, 300_000
 
 
 def _byte_alphabet() -> list[str]:
