@@ -5,10 +5,12 @@ give several orders.  Spark deals each order by range of key, and prefix sums cu
 run and to those within ``window / 2`` vectors to either side; a run and its queries are compared as matrices, each run
 gives a query's best, and all lists merge, each vector once.
 
-Work and movement grow with the number of vectors: a query meets ``orders * window`` of them, however many there are.
-Curves find what lies close in few dimensions.  Where vectors have no structure (every direction spreads alike), the
-nearest of a query lie almost anywhere along a curve, and recall is about what share of all vectors a query meets: then
-``window`` has to grow with the table.  Recall is measured against brute force in the tests.
+``window`` is the least.  Where it doesn't hold all vectors, a bounded sample of queries is compared with all vectors,
+and windows grow until the sample finds ``recall`` of its true nearest (less two standard errors).  Windows grow by wider
+runs, compared piece by piece, so movement still grows with the number of vectors.  So does work where vectors lie in
+clusters.  Where they have no structure (every direction spreads alike), the nearest of a query lie almost anywhere along
+a curve; windows that would meet more than the table are replaced by one order compared as a whole, which is exact, and
+whose work grows with queries times vectors.  Recall is measured against brute force in the tests.
 
 Defined cases: vectors that are null, zero, or hold nulls or numbers that aren't finite take no part; nor do those whose
 length isn't the commonest; equal scores stand in order of id; rows that share an id are one candidate by their best
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import partitions, staged
 
 BITS = 8
+WHOLE = 24  # parts of an order that is compared as a whole
+ASKED = 2048  # queries compared at once where windows have grown
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,8 @@ class Curves:
     run: int = 4096
     sample: int = 20_000  # vectors from which the cells' bounds are fitted
     seed: int = 11
+    recall: float = 0.9  # what windows grow to reach
+    probes: int = 256  # queries on which recall is measured
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -115,26 +121,45 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
     placed = _in_runs(spark, staged(spark, _placed(rows, frames, max(1, -(-total // how.run))), "curves"), how.run)
     runs = -(-total // how.run)
     side = -(-how.window // (2 * how.run))
-    block = placed.groupBy("ord", "run").agg(F.collect_list(F.struct("vec_id", "v")).alias("c"))
+    reach = side if 2 * side + 1 >= runs else _reach(rows, placed, is_query, top, how, runs, side)
+    grown, wide = reach > side, 1  # runs side by side that count as one
+    if grown and how.orders * (2 * reach + 1) >= runs:
+        placed, wide, side = placed.filter("ord = 0"), -(-runs // WHOLE), runs
+    elif grown:
+        side = max(side, 1)
+        wide = -(-reach // side)
+    n = -(-runs // wide)
     # at the ends of an order the window moves inwards
-    width = min(runs, 2 * side + 1)
-    low = F.greatest(F.lit(0), F.least(F.col("run") - side, F.lit(runs - width)))
-    asked = placed.filter(is_query).withColumn("run", F.explode(F.sequence(low, low + width - 1))).groupBy("ord", "run").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    width = min(n, 2 * side + 1)
+    own = F.floor(F.col("run") / wide).cast("int")
+    block = placed.groupBy("ord", "run").agg(F.collect_list(F.struct("vec_id", "v")).alias("c")).select("ord", own.alias("at"), "c")
+    queries = placed.filter(is_query)
+    lists = max(1, -(-queries.filter("ord = 0").count() * width // (n * ASKED))) if grown else 1
+    low = F.greatest(F.lit(0), F.least(own - side, F.lit(n - width)))
+    asked = queries.withColumn("at", F.explode(F.sequence(low, low + width - 1))).groupBy("ord", "at", F.pmod(F.xxhash64("vec_id"), F.lit(lists)).alias("list")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = None, None  # the list of queries at hand, and the best scores of each so far
         for batch in batches:
             for r in range(batch.num_rows):
                 (qi, q), (ci, c) = (_members(batch.column(j)[r].values) for j in (0, 1))
                 s = q @ c.T
                 s[qi[:, None] == ci[None, :]] = -np.inf
                 k = min(top, len(ci))
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best = -np.partition(-s, k - 1, axis=1)[:, :k]
+                # the blocks of one order share no vector; other orders bring the same again
+                order = batch.column(2)[r].as_py()
+                if grown and seen is not None and seen[0] == order and np.array_equal(seen[1], qi):
+                    best = np.concatenate([held, best], 1)
+                    best = -np.partition(-best, min(top, best.shape[1]) - 1, axis=1)[:, :top]
+                seen, held = (order, qi), best
                 # all that equal the last of the best could matter: ties go by id
-                floor = np.take_along_axis(s, best, 1).min(axis=1)
-                a, b = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+                a, b = np.nonzero((s >= best.min(axis=1)[:, None]) & np.isfinite(s))
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ci[b]), pa.array(s[a, b])], names=["query_id", "vec_id", "s"])
 
-    met = asked.join(block, ["ord", "run"]).select("q", "c").mapInArrow(compare, "query_id long, vec_id long, s double")
+    met = asked.join(block, ["ord", "at"]).select("q", "c", "ord").mapInArrow(compare, "query_id long, vec_id long, s double")
+    if grown:
+        met = staged(spark, met, "met")  # in small batches: a task compares many blocks
     once = met.groupBy("query_id", "vec_id").agg(F.max("s").alias("s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
     few = once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top + 4)
@@ -145,6 +170,45 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
     return scored.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def _reach(rows: DataFrame, placed: DataFrame, is_query, top: int, how: Curves, runs: int, least: int) -> int:
+    """Runs to either side, ``least`` or more, by which a sample of queries finds ``how.recall`` of its true nearest."""
+    asked = rows.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(how.seed)), "vec_id").limit(how.probes).toArrow()  # a bounded sample
+    if not asked.num_rows:
+        return least
+    qi, first = np.unique(asked["vec_id"].to_numpy(), return_index=True)
+    q = _stack(asked["v"].combine_chunks())[first]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.zeros((len(qi), 0), np.int64), np.zeros((len(qi), 0))
+        for batch in batches:
+            if batch.num_rows:
+                ci = batch.column(0).to_numpy()
+                s = q @ _stack(batch.column(1)).T
+                s[qi[:, None] == ci[None, :]] = -np.inf
+                ids, scores = np.concatenate([ids, np.broadcast_to(ci, s.shape)], 1), np.concatenate([scores, s], 1)
+                kept = np.argpartition(-scores, min(top, scores.shape[1]) - 1, axis=1)[:, :top]
+                ids, scores = np.take_along_axis(ids, kept, 1), np.take_along_axis(scores, kept, 1)
+        a, b = np.nonzero(np.isfinite(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ids[a, b]), pa.array(scores[a, b])], names=["query_id", "vec_id", "s"])
+
+    found = rows.mapInArrow(best, "query_id long, vec_id long, s double").groupBy("query_id", "vec_id").agg(F.max("s").alias("s"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
+    pairs = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).select("query_id", "vec_id").toPandas()
+    ids = np.unique(np.concatenate([qi, pairs["vec_id"].to_numpy(np.int64)]))  # probes times top at most
+    wanted = F.broadcast(rows.sparkSession.createDataFrame([(int(i),) for i in ids], "vec_id long"))
+    at = placed.join(wanted, "vec_id", "left_semi").groupBy("vec_id", "ord").agg(F.min("run").alias("run")).toPandas()
+    place = at.pivot(index="vec_id", columns="ord", values="run")
+    a, b = place.loc[pairs["query_id"]].to_numpy(), place.loc[pairs["vec_id"]].to_numpy()
+    # straight, or by a window that stands at an end of the order
+    end = runs - 1
+    need = np.minimum(np.abs(a - b), np.minimum(np.maximum(a, -(-b // 2)), np.maximum(end - a, -(-(end - b) // 2)))).min(axis=1)
+    for reach in range(least, runs):
+        share = pairs.assign(hit=need <= reach).groupby("query_id")["hit"].mean().to_numpy(float)
+        if not len(share) or share.mean() - 2 * share.std() / np.sqrt(len(share)) >= how.recall:
+            return reach
+    return runs
+
+
 def _placed(rows: DataFrame, frames: list[Frame], runs: int) -> DataFrame:
     """``ord, part, key, vec_id, v``: every vector in each order, dealt by range of key and id."""
 

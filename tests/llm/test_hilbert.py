@@ -39,6 +39,16 @@ def test_recall_without_structure_needs_wide_windows(spark):
     assert recall(spark, v, hilbert.Curves()) == 1.0
 
 
+def test_windows_grow_until_a_sample_reaches_the_recall(spark):
+    v = np.random.default_rng(2).normal(size=(2400, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert recall(spark, v, hilbert.Curves(window=64, run=32)) >= 0.9  # no structure: all are compared
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(12, 16))
+    c = c[rng.integers(0, 12, 3000)] + 0.1 * rng.normal(size=(3000, 16))
+    assert recall(spark, c / np.linalg.norm(c, axis=1, keepdims=True), hilbert.Curves(window=32, run=16)) >= 0.9
+
+
 def test_curve_visits_every_cell_next_to_the_last():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = hilbert.hilbert_keys(cells, 3)
