@@ -43,7 +43,7 @@ def scoped(chunks: DataFrame, owner=None, language: str | None = None) -> DataFr
 
 
 def _small(queries: DataFrame) -> DataFrame:
-    """A batch of queries, broadcast if it is one of at most MAX_QUERIES rows."""
+    """A batch of queries or overrides, broadcast if it is one of at most MAX_QUERIES rows."""
     known = queries.limit(MAX_QUERIES + 1).count()
     return F.broadcast(queries) if known <= MAX_QUERIES else queries
 
@@ -151,7 +151,7 @@ def override(candidates: DataFrame, overrides: DataFrame, resort: bool = True) -
 
     Order: by manual score, else rerank score, both downwards, else distance; kept as it is, scales mixed; ties by rank.
     """
-    joined = candidates.join(F.broadcast(overrides.limit(MAX_QUERIES)), "guid", "left")
+    joined = candidates.join(_small(overrides), "guid", "left")
     if not resort:
         return joined
     has = lambda c: F.col(c) if c in candidates.columns else F.lit(None).cast("double")

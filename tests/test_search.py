@@ -51,6 +51,15 @@ def test_override(spark):
         search.check_known(rows, "nobody")
 
 
+def test_override_keeps_all_rows_of_a_large_table(spark):
+    n = search.MAX_QUERIES + 500
+    rows = spark.range(n).select(F.lit(0).alias("query_id"), F.col("id").alias("guid"), (F.col("id") + 1).cast("int").alias("rank"))
+    by_hand = spark.range(n).select(F.col("id").alias("guid"), (F.col("id") / 4).alias("manual_rank_score"), F.lit("by hand").alias("manual_rank_reason"))
+    out = search.override(rows, by_hand)
+    assert out.filter("manual_rank_score is null").isEmpty() and out.count() == n
+    assert out.filter("rank = 1").first().guid == n - 1
+
+
 def test_expand(spark):
     rows = spark.createDataFrame([(0, "g1", "p1", 1, "a"), (0, "g2", "p1", 2, "b"), (0, "g3", "gone", 3, "c")], "query_id int, guid string, parent string, rank int, text string")
     pages = spark.createDataFrame([("p1", "page one " * 5)], "guid string, text string")
