@@ -168,13 +168,28 @@ def grounding_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs, titles, heading tests and truncation over all pages and documents."""
+    """Slugs, titles and truncation where a page and a document share a number; titles of the first 200 characters.
+
+    All pages and documents, whole: :func:`page_titles` and :func:`cut_texts`.
+    """
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), T.slug(F.col("url")).alias("slug"), F.md5(T.clean_title(F.substring("html", 1, 200), "<>/")).alias("title_md5"))
     docs = table(spark, d, "documents")
     cut = docs.select(F.col("doc_id").alias("id"), F.length(T.truncate(F.col("text"), 1000)).alias("cut_chars"))
     return pages.join(cut, "id")
 
 
+@query
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs and cleaned titles of all pages, each title the whole text."""
+    return table(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"), F.md5(T.clean_title(F.col("html"), "<>/")).alias("title_md5"))
+
+
+@query
+def cut_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Truncation of all documents."""
+    return table(spark, d, "documents").select("doc_id", F.length(T.truncate(F.col("text"), 1000)).alias("cut_chars"))
+
+
 @query
 def qa_markup_check(spark: SparkSession, d: str) -> DataFrame:
     """Marks of a source and of a translation that lost some."""
