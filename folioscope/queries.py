@@ -366,11 +366,21 @@ def source_summary(spark: SparkSession, d: str) -> DataFrame:
     return sync.source_summary(docs, totals)
 
 
+def _targets(spark, docs):
+    books = docs.select(F.col("source").alias("source_key"), F.col("lang").alias("language")).distinct()
+    return sync.translation_targets(books, spark.createDataFrame([("fr", 1), ("en", 2), ("de", 3), ("es", 4), ("ru", 5)], "language string, ord int"))
+
+
 @query
 def translation_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Languages that each source's documents lack."""
-    docs = table(spark, d, "documents").filter("n_chars > 3000").select(F.col("source").alias("source_key"), F.col("lang").alias("language")).distinct()
-    return sync.translation_targets(docs, spark.createDataFrame([("fr", 1), ("en", 2), ("de", 3), ("es", 4), ("ru", 5)], "language string, ord int"))
+    """Languages that each source's documents of more than 3000 characters lack; of all documents: :func:`translation_targets_all`."""
+    return _targets(spark, table(spark, d, "documents").filter("n_chars > 3000"))
+
+
+@query
+def translation_targets_all(spark: SparkSession, d: str) -> DataFrame:
+    """Languages that each source's documents lack, of any length."""
+    return _targets(spark, table(spark, d, "documents"))
 
 
 @query
