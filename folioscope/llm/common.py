@@ -5,8 +5,11 @@ Words are the runs of bytes other than 0x20 and 0x09-0x0D in the UTF-8 text.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -21,9 +24,13 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine (local masters) one of our own."""
     conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir") or _own_dir()
+    top = conf.get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        top = _own_dir()
     return top.rstrip("/") + "/folioscope"
 
 
@@ -33,6 +40,7 @@ _OWN: list[str] = []
 def _own_dir() -> str:
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="folioscope-"))
+        atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
     return _OWN[0]
 
 
@@ -43,28 +51,48 @@ def new_path(spark: SparkSession, label: str) -> str:
 def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, and survives the loss of any executor."""
     path = new_path(spark, label)
-    with _writing(spark):
+    bounded(spark)
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folioscope_path = path
     return out
 
 
+#: Arrow batches hold texts and sets, so they are bounded by rows and bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20) + "b", str(4 << 20) + "b")}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches where nobody has set them; they stay so, since results are lazy."""
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_writers: dict[int, list] = {}
+
+
 @contextlib.contextmanager
-def _writing(spark: SparkSession):
-    """Within it, an action's shuffle files go when it ends: what it made is in the shared folder. Arrow batches hold texts and blocks, so they are kept small."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-    before = {k: spark.conf.get(k, None) for k in own}
+def _cleaning(spark: SparkSession):
+    """Within it, an action's shuffle files go when it ends: what it made is in the shared folder. The last of several threads sets the session right again."""
+    with _LOCK:
+        held = _writers.setdefault(id(spark), [0, spark.conf.get(_CLEAN, None)])
+        held[0] += 1
+        spark.conf.set(_CLEAN, "true")
     try:
-        for k, v in own.items():
-            spark.conf.set(k, v)
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                _writers.pop(id(spark))
+                spark.conf.unset(_CLEAN) if held[1] is None else spark.conf.set(_CLEAN, held[1])
 
 
-def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
+def drop_staged(spark: SparkSession, *frames: DataFrame | None) -> None:
     """Deletes tables made by :func:`staged` that no later plan reads."""
     for df in frames:
         if path := getattr(df, "_folioscope_path", None):
@@ -72,6 +100,17 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def carried(df: DataFrame, *extra: Column) -> DataFrame:
+    """``df``'s columns as one struct, ``row``, beside ``extra``: whatever they are called, no name of ours meets theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row") if df.columns else F.struct().alias("row"), *extra)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of a row's whole content: an order for rows that are equal in all that an operator reads."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() not in ("void", "variant")]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
 def text_bytes(name: str = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit("").cast("binary"))
@@ -101,7 +140,7 @@ _LOWER[65:91] = _RAW[97:123]
 _POW: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POW or len(_POW["p"]) < n:
         m = max(n, (1 << 19) + 1)
         for k, r in (("p", _R), ("i", _R_INV)):
@@ -166,7 +205,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> t
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER if lower else _RAW)[b] * power[:n], out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * inverse[starts])
@@ -190,7 +229,7 @@ def long_windows(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(h) + 1)
+    power, inverse = powers(len(h) + 1)
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(mix(h + np.uint64(k)) * power[: len(h)], out=sums[1:])
     return mix((sums[k:] - sums[:n]) * inverse[:n])

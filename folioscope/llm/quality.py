@@ -4,14 +4,16 @@ Every rule is measured once for each text.  The ledger keeps the measurements an
 that the text fails.  A policy is a versioned choice of rules; it is applied to the stored mask, so another policy, or
 the question what a policy would do without one of its rules, reads the ledger and no text.
 
+Texts alone go to the measuring function, which gives numbers back; all other columns stay where they are.
+
 Defined cases: a null text counts as empty; an empty text has no words and fails ``few_words``; equal rows get equal
-ledger rows; an empty table gives an empty ledger; other columns stay, and where their names are those of the ledger,
-the ledger's replace them.
+ledger rows; an empty table gives an empty ledger; other columns stay, and in ``ledger`` those with the name of a
+measurement or of the mask are replaced by it; ``keep_good`` gives back all columns as they were, whatever their names;
+very long texts are measured whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_buffers, hashed_words, pieces, text_bytes, windows
+from .common import binary_buffers, bounded, carried, hashed_words, pieces, text_bytes, windows
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -122,22 +124,23 @@ def _lines(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements of each text; one pass, no shuffle."""
-    keep = [c for c in docs.columns if c not in MEASURES and c not in ("failed_rules", "_bytes")]
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes(text).alias("_bytes"))
+def measures(text: Column) -> Column:
+    """A struct of MEASURES for each text: one pass, no shuffle, and only the text leaves the JVM."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">")
+    def measure(texts: pa.Array) -> pa.Array:
+        got = _measure(*binary_buffers(texts))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(got[:, j])) for j in range(len(MEASURES))], names=list(MEASURES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = _measure(*binary_buffers(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(got[:, j]) for j in range(len(MEASURES)))], names=[*keep, *MEASURES])
+    return measure(text)
 
-    fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for m in MEASURES:
-        fields = fields.add(m, "long")
-    return narrow.mapInArrow(run, fields)
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the measurements of each text."""
+    bounded(docs.sparkSession)
+    keep = [c for c in docs.columns if c not in MEASURES and c != "failed_rules"]
+    rows = carried(docs.select(*[F.col(f"`{c}`") for c in keep]), measures(text_bytes(text)).alias("found"))
+    return rows.select("row.*", "found.*") if keep else rows.select("found.*")
 
 
 def failure_mask() -> Column:
@@ -177,9 +180,6 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns and no more."""
-    own = [f"`{c}`" for c in docs.columns]
-    clash = [c for c in docs.columns if c in MEASURES or c in ("failed_rules", "_kept_by_policy")]
-    if clash:  # a column of the table has the name of a measurement: set it aside under another
-        renamed = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(clash)})
-        return keep_good(renamed, policy, text).withColumnsRenamed({f"_own_{i}": c for i, c in enumerate(clash)}).select(*own)
-    return apply_policy(ledger(docs, text), policy, "_kept_by_policy").filter("_kept_by_policy").select(*own)
+    bounded(docs.sparkSession)
+    rows = carried(docs, measures(text_bytes(text)).alias("found")).select("row", "found.*")
+    return apply_policy(rows.withColumn("failed_rules", failure_mask()), policy).filter("kept").select("row.*")
