@@ -10,8 +10,11 @@ The running sum is made in two passes: rows are dealt by range of (source, size,
 and the counts' prefix sums are added to row numbers within the partition.  So no task holds a source.
 
 Defined cases: null texts have size 0; documents without words are never taken; a null source is a source, the last in
-order; a null id stands before others; equal rows count separately; an empty table gives an empty result; other columns
-are left out of the plan (``mixture``) or carried along (``mixed``).
+order; a null id stands before others; equal rows count separately; rows with equal source, size and id stand in the
+order of their contents' hashes, so reruns agree; very long texts are one document like others; an empty table gives an
+empty result; other columns are left out of the plan (``mixture``) or carried along (``mixed``), whatever their names.
+
+Sums over sources' and partitions' totals run in one task each: a row for each source, or for each source and partition.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, word_count
+from .common import carried, partitions, row_hash, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -56,10 +59,10 @@ def start_of(source: Column, seed: int) -> Column:
 
 
 def mixture(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """``doc_id, source, size`` to the same with ``source_size, target, copies, taken``."""
+    """``doc_id, source, size, tie`` to the same with ``source_size, target, copies, taken``; ``tie`` orders rows that are equal in the rest."""
     n = max(partitions(spark), 1)
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    dealt = sizes.select("doc_id", "source", "size").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col("tie")]
+    dealt = sizes.select("doc_id", "source", "size", "tie").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
     # numbers of partitions must not change if a task runs again elsewhere
     rows = staged(spark, dealt, "mix")
     per_part = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -68,7 +71,7 @@ def mixture(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = WE
     p = per_part.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("p")
     s = per_source.alias("s")
     plan = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source"))).select(F.col("p.source").alias("of"), F.col("p.part").alias("at"), "source_size", "target", "before")
-    rank = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id", "tie"))
     numbered = rows.withColumn("rank", rank)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = numbered.join(plan, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
@@ -79,34 +82,32 @@ def mixture(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = WE
         .withColumn("start", start_of(F.col("source"), seed))
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        .select("doc_id", "source", "size", "tie", "source_size", "target", "copies", "taken")
     )
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("source"), word_count("text").alias("size"))
+    return docs.select(F.col("doc_id"), F.col("source"), word_count("text").alias("size"), row_hash(docs).alias("tie"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mixture's plan for each document of ``docs``."""
-    return mixture(spark, sizes_of(docs), **how)
+    return mixture(spark, sizes_of(docs), **how).drop("tie")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves: each row as many times as it is taken.
 
-    Rows that share an id (and source and size) share their copies in the order of the sampling.
+    Rows that are equal in every column stand for each other: one of them is repeated as often as all are taken.
     """
-    own = [f"`{c}`" for c in docs.columns]
-    plan = mix(spark, docs, **how).groupBy(_key("size").alias("_key")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    keyed = docs.withColumn("_size", word_count("text")).withColumn("_key", _key("_size"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
-    joined = keyed.withColumn("_nth", nth).join(plan, "_key").withColumn("_k", F.element_at("_copies", F.col("_nth")).cast("int"))
-    once = joined.filter("_k > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    return once.select(*own)
+    plan = mixture(spark, sizes_of(docs), **how).groupBy(_key().alias("key")).agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = carried(docs, F.col("doc_id"), F.col("source"), word_count("text").alias("size"), row_hash(docs).alias("tie")).select("row", _key().alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    once = rows.join(plan, "key").withColumn("nth", nth).filter("nth = 1")
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
-def _key(size: str) -> Column:
-    """One value for a row's id, source and size; without nulls, so that window and join deal rows alike."""
+def _key() -> Column:
+    """One value for a row's id, source, size and content; without nulls, so that window and join deal rows alike."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    return F.md5(F.concat_ws("\x01", part("doc_id"), part("source"), part(size)))
+    return F.md5(F.concat_ws("\x01", part("doc_id"), part("source"), part("size"), part("tie")))
