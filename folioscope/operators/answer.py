@@ -109,7 +109,7 @@ def retrieve(spark: SparkSession, corpus: Corpus, question: str, providers: Prov
     chunks = corpus.chunks
     vec = lambda texts, kind: [(i, t, [float(x) for x in v]) for i, (t, v) in enumerate(zip(texts, providers.embedder.embed(texts, kind), strict=True))]
     table = lambda rows: spark.createDataFrame(rows, "query_id int, text string, vector array<double>")
-    terms = lambda texts: spark.createDataFrame([(i, t) for i, q in enumerate(texts) for t in search.query_terms(q)] or [(0, "")], "query_id int, term string")
+    terms = lambda texts: search.terms_of(spark.createDataFrame([(i, search.or_query(q)) for i, q in enumerate(texts)], "query_id int, text string"))
     used = {"multi_query": flags.multi_query, "hybrid": flags.hybrid, "hyde": flags.hyde and not flags.multi_query and not flags.hybrid, "sub_questions": []}
     if flags.multi_query:
         subs = split_question(question, providers.text.reply("split", question), flags.max_sub)

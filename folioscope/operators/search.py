@@ -2,23 +2,27 @@
 
 Every result has an explicit ``rank`` from 1, and every order ends in ``guid``: no result depends on row order.
 Chunks: ``guid, owner, language, parent, text, embedding array<float or double>`` (what an operator doesn't use may be
-absent).  Queries: ``query_id, text`` and, for dense search, ``vector``; a batch of questions is small, and its size is
-checked before it is broadcast.
+absent).  Queries: ``query_id, text`` and, for dense search, ``vector``.  Only vectors of a batch whose size is known are
+sent to all tasks; all else is left to joins, whose strategy Spark chooses by size.
 """
 
 from __future__ import annotations
 
-import re
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ..functions import lexemes as L
 from ..functions import text as T
 
 MAX_ROWS = 50  # no search returns more
 RRF_K = 60
-MAX_QUERIES = 10_000  # beyond it, query batches aren't broadcast
+MAX_QUERIES = 10_000  # vectors of a batch that are sent to all tasks at once; terms that filter words before they move
 
 
 def pool(n: int) -> int:
@@ -42,12 +46,6 @@ def scoped(chunks: DataFrame, owner=None, language: str | None = None) -> DataFr
     return chunks
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """A batch of queries or overrides, broadcast if it is one of at most MAX_QUERIES rows."""
-    known = queries.limit(MAX_QUERIES + 1).count()
-    return F.broadcast(queries) if known <= MAX_QUERIES else queries
-
-
 def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first ``min(k, MAX_ROWS)`` rows of each query, ranked."""
     w = Window.partitionBy("query_id").orderBy(*order, F.col("guid"))
@@ -55,10 +53,55 @@ def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 5, owner=None, language: str | None = None) -> DataFrame:
-    """``query_id, guid, cosine_distance, rank``: the nearest chunks by cosine. Exact; chunks without a vector take no part."""
-    c = scoped(chunks, owner, language).filter(F.col("embedding").isNotNull()).select("guid", "embedding")
-    met = c.crossJoin(_small(queries.select("query_id", "vector")))
-    return top_per_query(met.select("query_id", "guid", cosine_distance(F.col("embedding"), F.col("vector")).alias("cosine_distance")), k, F.col("cosine_distance"))
+    """``query_id, guid, cosine_distance, rank``: the nearest chunks by cosine, exact.
+
+    Chunks and queries without a vector, of another length or of length 0 take no part.  A batch of at most MAX_QUERIES
+    vectors goes to all tasks; they compare blocks of chunks with it as matrices and give each query's best of a block, so
+    nothing moves but ``k`` rows for each query and block.  A larger batch reads the chunks once for each MAX_QUERIES.
+    """
+    c = scoped(chunks, owner, language).filter(F.col("embedding").isNotNull()).select("guid", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = asked.toLocalIterator()
+    schema = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("guid", c.schema["guid"].dataType), StructField("cosine_distance", DoubleType()), StructField("rank", IntegerType())])
+    out = None
+    while part := [r for _, r in zip(range(MAX_QUERIES), rows, strict=False)]:
+        found = top_per_query(_compared(c, part, schema, min(k, MAX_ROWS)), k, F.col("cosine_distance"))
+        out = found if out is None else out.unionByName(found)
+    return chunks.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _compared(chunks: DataFrame, queries: list, schema: StructType, k: int) -> DataFrame:
+    """Each block's ``k`` nearest of each query, and all that tie with the last."""
+    by_length: dict[int, list] = {}
+    for r in queries:
+        if any(r["vector"]):
+            by_length.setdefault(len(r["vector"]), []).append(r)
+    sent = {}
+    for d, rows in by_length.items():
+        q = np.array([r["vector"] for r in rows])
+        sent[d] = [r["query_id"] for r in rows], q / np.linalg.norm(q, axis=1, keepdims=True)
+    held = chunks.sparkSession.sparkContext.broadcast(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for d, (ids, q) in held.value.items():
+                own = batch.filter(pa.array(sizes == d))
+                v = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                norm = np.linalg.norm(v, axis=1)
+                own, v = own.filter(pa.array(norm > 0)), v[norm > 0] / norm[norm > 0, None]
+                if not len(v):
+                    continue
+                distance = 1.0 - q @ v.T
+                distance[np.abs(distance) < 1e-15] = 0.0  # equal directions, but for the last bits
+                last = np.partition(distance, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+                a, b = np.nonzero(distance <= last[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a.tolist()]).cast(kind), own.column(0).take(pa.array(b)), pa.array(distance[a, b])], names=["query_id", "guid", "cosine_distance"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(schema["query_id"].dataType)
+    return chunks.mapInArrow(run, StructType(schema.fields[:3]))
 
 
 def dense_search_one(chunks: DataFrame, vector: list[float], k: int = 5, owner=None, language: str | None = None) -> DataFrame:
@@ -75,22 +118,32 @@ def or_query(question: str) -> str:
     return " OR ".join(words) or question
 
 
-def query_terms(question: str) -> list[str]:
-    """Distinct lower-case terms of an or-query; the operator itself is no term."""
-    return sorted({t for w in or_query(question).split() for t in re.findall("[a-z]+", w.lower())} - {"or"})
+def terms_of(queries: DataFrame) -> DataFrame:
+    """``query_id, term``: the distinct terms of each question; one of stop words alone has none. The operator of an or-query is a stop word."""
+    words = queries.select("query_id", F.explode(L.tokens(F.col("text"))).alias("word")).filter(~F.col("word").isin(*L.STOP)).distinct()
+    return L.stemmed(words).select("query_id", "term").distinct()
+
 
+def postings(chunks: DataFrame, *carry: str) -> DataFrame:
+    """``term, guid, tf`` and the chunks' columns ``carry``: an inverted index. Written bucketed by term, it serves many searches."""
+    index = L.lexemes(chunks).select("term", "guid", "tf")
+    return index.join(chunks.select("guid", *carry), "guid").select("term", "guid", "tf", *carry) if carry else index
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """``term, guid, tf``: an inverted index. Write it bucketed by term to search it often."""
-    terms = chunks.select("guid", F.explode(T.words_of(F.col("text"))).alias("term"))
-    return terms.groupBy("term", "guid").agg(F.count(F.lit(1)).alias("tf"))
 
+def keyword_search(chunks: DataFrame | None, terms: DataFrame, k: int = 5, owner=None, language: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """``query_id, guid, text_rank, rank``: a tenth for each occurrence of a term, which is the cover density of alternatives.
 
-def keyword_search(chunks: DataFrame, terms: DataFrame, k: int = 5, owner=None, language: str | None = None) -> DataFrame:
-    """``query_id, guid, text_rank, rank``. ``terms``: ``query_id, term``, distinct. Rank: a tenth for each matching word."""
-    wanted = _small(terms.select("query_id", "term"))
-    words = scoped(chunks, owner, language).select("guid", F.explode(T.words_of(F.col("text"))).alias("term"))
-    counted = words.join(wanted, "term").groupBy("query_id", "guid").agg((F.lit(0.1) * F.count(F.lit(1))).alias("text_rank"))
+    ``terms``: ``query_id, term``, as :func:`terms_of` gives them.  ``index``: postings to read instead of texts, with
+    ``owner`` and ``language`` where these are asked for.  A text's words move only if they may be terms.
+    """
+    asked = terms.select("query_id", "term")
+    if index is None:
+        known = [r[0] for r in asked.select("term").distinct().limit(MAX_QUERIES + 1).collect()]
+        found = L.words(scoped(chunks, owner, language).select("guid", "text"), L.may_have(known) if len(known) <= MAX_QUERIES else None)
+        met = found.join(L.vocabulary(found).join(asked, "term").select("query_id", "word"), "word")
+    else:
+        met = scoped(index, owner, language).join(asked, "term").withColumnRenamed("tf", "n")
+    counted = met.groupBy("query_id", "guid").agg((F.lit(0.1) * F.sum("n")).alias("text_rank"))
     return top_per_query(counted, k, F.desc("text_rank"))
 
 
@@ -114,10 +167,10 @@ def rrf(lists: dict[str, DataFrame], k: int = RRF_K, top: int | None = None) ->
     return ranked.filter(F.col("rank") <= top) if top else ranked
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, terms: DataFrame, n: int = 5, dense_pool: int | None = None, keyword_pool: int | None = None, k: int = RRF_K, owner=None, language=None) -> DataFrame:
-    """Dense and keyword search, fused; pools of 0 mean the default."""
+def hybrid_search(chunks: DataFrame, queries: DataFrame, terms: DataFrame, n: int = 5, dense_pool: int | None = None, keyword_pool: int | None = None, k: int = RRF_K, owner=None, language=None, index: DataFrame | None = None) -> DataFrame:
+    """Dense and keyword search, fused; pools of 0 mean the default. ``index``: postings for the keyword side."""
     dense = dense_search(chunks, queries, dense_pool or pool(n), owner, language)
-    keyword = keyword_search(chunks, terms, keyword_pool or pool(n), owner, language)
+    keyword = keyword_search(chunks, terms, keyword_pool or pool(n), owner, language, index)
     return rrf({"dense": dense, "keyword": keyword}, k, n)
 
 
@@ -147,11 +200,12 @@ def overlap_score(question: Column, text: Column) -> Column:
 
 
 def override(candidates: DataFrame, overrides: DataFrame, resort: bool = True) -> DataFrame:
-    """Manual ranks: ``overrides`` has ``guid, manual_rank_score, manual_rank_reason``.
+    """Manual ranks: ``overrides`` has ``guid, manual_rank_score, manual_rank_reason``; of several for one chunk the highest holds.
 
     Order: by manual score, else rerank score, both downwards, else distance; kept as it is, scales mixed; ties by rank.
     """
-    joined = candidates.join(_small(overrides), "guid", "left")
+    one = overrides.groupBy("guid").agg(F.max(F.struct("manual_rank_score", "manual_rank_reason")).alias("m")).select("guid", "m.manual_rank_score", "m.manual_rank_reason")
+    joined = candidates.join(one, "guid", "left")
     if not resort:
         return joined
     has = lambda c: F.col(c) if c in candidates.columns else F.lit(None).cast("double")
@@ -168,14 +222,16 @@ def check_known(candidates: DataFrame, guid) -> None:
 def expand_to_pages(candidates: DataFrame, pages: DataFrame, most: int | None = 6000) -> DataFrame:
     """Chunks to their pages: one row for each parent, in order of its best chunk, with the page's text cut at ``most``.
 
-    ``candidates``: ``query_id, guid, parent, rank, text``; ``pages``: ``guid, text``.  A missing page leaves the chunk.
+    ``candidates``: ``query_id, guid, parent, rank, text``; ``pages``: ``guid, text``.  A missing page leaves the chunk; so
+    does a missing parent, and each such chunk stands for itself.
     """
-    grouped = candidates.groupBy("query_id", "parent").agg(
+    alone = F.when(F.col("parent").isNull(), F.col("guid"))
+    grouped = candidates.groupBy("query_id", "parent", alone.alias("alone")).agg(
         F.min_by("guid", "rank").alias("guid"), F.min_by("text", "rank").alias("chunk_text"), F.min("rank").alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "guid"))), lambda x: x["guid"]).alias("matched_children")
     )
     page = pages.select(F.col("guid").alias("parent"), F.col("guid").alias("parent_guid"), F.col("text").alias("page_text"))
-    joined = page.join(F.broadcast(grouped), "parent", "right")  # at most MAX_ROWS rows a query
-    w = Window.partitionBy("query_id").orderBy("best", "parent")
+    joined = page.join(grouped, "parent", "right")
+    w = Window.partitionBy("query_id").orderBy("best", "parent", "guid")
     found = F.col("parent_guid").isNotNull()
     return joined.select(
         "query_id", "guid", "parent_guid", "matched_children", found.alias("expanded_from_parent"), F.when(found, T.truncate(F.col("page_text"), most)).otherwise(F.col("chunk_text")).alias("text"), F.row_number().over(w).alias("rank")

@@ -31,9 +31,13 @@ def build_blocks(raw: DataFrame) -> DataFrame:
         ),
         lambda w: (F.coalesce(w["text"], F.lit("")) != "") & w["bbox"].isNotNull(),
     )
-    # words joined by single spaces: each begins where the ones before end
-    placed = lambda ws: F.transform(ws, lambda w, i: w.withField("char_start", _before(ws, i)).withField("char_end", _before(ws, i) + F.length(w["text"])))
-    block = lambda b, i: _block(b, i, placed(words(b, F.format_string("p%04d_b%03d", F.col("page"), i + 1))))
+    # words joined by single spaces: each begins where the ones before end; lambdas bind what is used more than once
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    starts = lambda ws: F.aggregate(ws, F.array(F.lit(0)), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + F.length(w["text"]) + 1)))
+    placed = lambda ws, at: F.transform(ws, lambda w, i: w.withField("char_start", F.get(at, i)).withField("char_end", F.get(at, i) + F.length(w["text"])))
+    block = lambda b, i: bound(
+        words(b, F.format_string("p%04d_b%03d", F.col("page"), i + 1)), lambda ws: bound(starts(ws), lambda at: bound(placed(ws, at), lambda done: _block(b, i, done)))
+    )
     rows = raw.withColumn("blocks", F.transform("blocks", block))
     local = F.map_from_arrays(F.array_distinct(F.transform("blocks", lambda b: b["local_id"])), F.transform(F.array_distinct(F.transform("blocks", lambda b: b["local_id"])), lambda k: F.element_at(F.filter("blocks", lambda b: b["local_id"] == k), -1)["id"]))
     parent = lambda b: F.coalesce(F.try_element_at(F.col("_local"), b["parent_local"]), F.lit(""))
@@ -41,10 +45,6 @@ def build_blocks(raw: DataFrame) -> DataFrame:
     return rows.withColumn("_local", local).withColumn("blocks", linked).drop("_local")
 
 
-def _before(words: Column, i: Column) -> Column:
-    return F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda s, w: s + F.length(w["text"]) + 1)
-
-
 def _block(b: Column, i: Column, words: Column) -> Column:
     return F.struct(
         F.format_string("p%04d_b%03d", F.col("page"), i + 1).alias("id"), F.coalesce(b["block_id"], F.format_string("b%d", i + 1)).alias("local_id"), F.coalesce(b["type"], F.lit("other")).alias("type"),
@@ -97,12 +97,15 @@ def next_ends(entries: DataFrame, n_pages: Column) -> DataFrame:
 def level_ends(entries: DataFrame, n_pages: Column) -> DataFrame:
     """``doc, idx, level, start`` with ``end_page``: up to the next entry, in list order, of the same level or a higher one.
 
-    An outline has some thousand entries; each entry looks along the document's list from its own place on.
+    One pass over each document from its end: for every level that occurs, the last entry seen of that level or a higher one.
+    Levels are few, as headings' are; they are asked for first.
     """
-    listed = entries.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "level", "start"))).alias("_all"))
-    later = F.filter(F.col("_all"), lambda e: (e["idx"] > F.col("idx")) & (e["level"] <= F.col("level")))
-    end = F.coalesce(F.get(later, F.lit(0))["start"] - 1, n_pages - 1)
-    return entries.join(listed, "doc").withColumn("end_page", F.greatest(end, F.col("start"))).drop("_all")
+    back = Window.partitionBy("doc").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted(r[0] for r in entries.select("level").distinct().collect() if r[0] is not None)
+    follows = [F.last(F.when(F.col("level") <= k, F.col("start")), ignorenulls=True).over(back).alias(f"_next_{k}") for k in levels]
+    nxt = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_next_{k}")) for k in levels], F.lit(None)) if levels else F.lit(None)
+    out = entries.select("*", n_pages.alias("_n_pages"), *follows)
+    return out.withColumn("end_page", F.greatest(F.coalesce(nxt - 1, F.col("_n_pages") - 1), F.col("start")).cast("int")).drop("_n_pages", *[f"_next_{k}" for k in levels])
 
 
 def outline_sections(entries: DataFrame, n_pages: Column, levels: tuple[int, int] = (1, 99), ends: str = "next", keep: tuple = (), drop: tuple = (), single_page: tuple = (), strip_chars: str = "") -> DataFrame:
@@ -159,13 +162,30 @@ def split_oversized(sections: DataFrame, most: int = MAX_SECTION_PAGES, even: bo
 
 def section_text(sections: DataFrame, pages: DataFrame, **cleaning) -> DataFrame:
     """Adds the pages' texts, cleaned, in order, two line breaks between. ``pages``: ``doc, page`` (from 0), ``text``."""
-    p = pages.select(F.col("doc").alias("_doc"), "page", T.clean_page(F.col("text"), **cleaning).alias("_text"))
-    spread = sections.withColumn("_id", F.struct("start_page", "end_page", "title")).withColumn("page", F.explode(F.sequence("start_page", "end_page")))
-    joined = spread.join(p, (F.col("doc") == F.col("_doc")) & (spread.page == p.page)).groupBy("doc", "_id").agg(F.array_sort(F.collect_list(F.struct(p.page, "_text"))).alias("_p"))
-    text = joined.select(F.col("doc"), F.col("_id.start_page"), F.col("_id.end_page"), F.col("_id.title"), T.strip(F.array_join(F.transform("_p", lambda x: x["_text"]), "\n\n")).alias("text"))
+    p = pages.select(F.col("doc").alias("_doc"), F.col("page").alias("_page"), T.clean_page(F.col("text"), **cleaning).alias("_text"))
+    spread = sections.select("doc", "start_page", "end_page", "title", F.explode(F.sequence("start_page", "end_page")).alias("_at"))
+    joined = spread.join(p, (F.col("doc") == F.col("_doc")) & (F.col("_at") == F.col("_page"))).groupBy("doc", "start_page", "end_page", "title").agg(F.array_sort(F.collect_list(F.struct("_page", "_text"))).alias("_p"))
+    text = joined.select("doc", "start_page", "end_page", "title", T.strip(F.array_join(F.transform("_p", lambda x: x["_text"]), "\n\n")).alias("text"))
     return sections.join(text, ["doc", "start_page", "end_page", "title"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def body_sizes(lines: DataFrame) -> DataFrame:
+    """``doc, body``: the size that most characters have; of equals the one seen first."""
+    by_size = lines.groupBy("doc", "size").agg(F.sum(F.length("text")).alias("chars"), F.min(F.struct("page", "line")).alias("first"))
+    return by_size.groupBy("doc").agg(F.min_by("size", F.struct(-F.col("chars"), "first")).alias("body"))
+
+
+def title_spread(titles: DataFrame) -> DataFrame:
+    """``doc, title, on_pages, times``: on how many pages each title stands."""
+    return titles.groupBy("doc", "title").agg(F.count_distinct("page").alias("on_pages"), F.count(F.lit(1)).alias("times"))
+
+
+def reading_offsets(rows: DataFrame, book: list[str], order: str) -> DataFrame:
+    """Adds ``char_start``: where each text begins when all of a book stand in order with one character between."""
+    w = Window.partitionBy(*book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("char_start", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)))
+
+
 def font_headings(lines: DataFrame, n_pages: Column, ratio: float = HEADING_RATIO) -> DataFrame:
     """Headings by type size: ``doc, page, line, size, text`` to ``doc, page, title``.
 
@@ -173,14 +193,13 @@ def font_headings(lines: DataFrame, n_pages: Column, ratio: float = HEADING_RATI
     are one title; titles on too many pages are running headers; a page has two titles at most.
     """
     sized = lines.withColumn("size", F.round("size", 1))
-    by_size = sized.groupBy("doc", "size").agg(F.sum(F.length("text")).alias("chars"), F.min(F.struct("page", "line")).alias("first"))
-    body = by_size.groupBy("doc").agg(F.min_by("size", F.struct(-F.col("chars"), "first")).alias("body"))
+    body = body_sizes(sized)
     order = Window.partitionBy("doc").orderBy("page", "line")
     large = sized.join(body, "doc").withColumn("large", F.col("size") >= F.col("body") * ratio)
     same = F.lag("large").over(order) & (F.lag("page").over(order) == F.col("page")) & (F.lag("size").over(order) == F.col("size"))
     grouped = large.withColumn("new", F.when(F.col("large") & F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(order)).filter("large")
     titles = grouped.groupBy("doc", "page", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("title"))
-    spread = titles.groupBy("doc", "title").agg(F.count_distinct("page").alias("on_pages"))
+    spread = title_spread(titles)
     most = F.greatest(F.lit(3), F.floor(n_pages * 0.03))
     good = titles.join(spread, ["doc", "title"]).filter((F.col("on_pages") <= most) & T.looks_like_heading(F.col("title")))
     per_page = Window.partitionBy("doc", "page").orderBy("g")

@@ -14,14 +14,26 @@ def actions(stored: DataFrame, wanted: DataFrame, key: str, digest: str) -> Data
     return both.select(key, action.alias("action")).filter("action IS NOT NULL")
 
 
-def upsert(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The stored rows with ``rows`` in place of those of the same key, or added. Write it as a new snapshot."""
-    return stored.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+def _one_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of rows with one key the last by ``order``, then by content: the same whatever order they come in."""
+    columns = [*order, *[c for c in rows.columns if c != key and c not in order]]
+    if not columns:
+        return rows.distinct()
+    return rows.groupBy(key).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("r")).select(*[F.col(f"`{key}`") if c == key else F.col("r")[c].alias(c) for c in rows.columns])
 
 
-def insert_absent(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key isn't stored yet, to append."""
-    return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def upsert(stored: DataFrame, rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The stored rows with ``rows`` in place of those of the same key, or added. Write it as a new snapshot.
+
+    Of several new rows with one key the last by ``order`` holds; equal there, the greatest by content.
+    """
+    new = _one_per_key(rows, key, *order)
+    return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def insert_absent(stored: DataFrame, rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows whose key isn't stored yet, to append; of several with one key the last by ``order``, then by content."""
+    return _one_per_key(rows, key, *order).join(stored.select(key), key, "left_anti")
 
 
 def delete(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -68,8 +80,10 @@ def first_per_key(rows: DataFrame, key: str, *order) -> DataFrame:
 def translation_targets(pdfs: DataFrame, languages: DataFrame) -> DataFrame:
     """``source_key, language`` of books on disk, and ``language, ord``: the languages each book lacks, and the language it is translated from.
 
-    Languages are a few rows, so the product is by their number.
+    One pass over the books: each one's known languages against the list, which is a row for each language asked for.
     """
-    langs = F.broadcast(languages.select("language", "ord").limit(1000))
-    source = pdfs.join(langs, "language").groupBy("source_key").agg(F.min_by("language", "ord").alias("source_language"))
-    return source.crossJoin(langs.select("language")).join(pdfs, ["source_key", "language"], "left_anti")
+    wanted = [r["language"] for r in languages.orderBy("ord", "language").collect()]
+    order = F.create_map(*[x for i, v in enumerate(wanted) for x in (F.lit(v), F.lit(i))]) if wanted else F.create_map().cast("map<string,int>")
+    has = pdfs.filter(F.col("language").isin(*wanted)).groupBy("source_key").agg(F.collect_set("language").alias("has"), F.min_by("language", order[F.col("language")]).alias("source_language"))
+    lacks = F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), "has")
+    return has.select("source_key", F.explode(lacks).alias("language"), "source_language")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions import lexemes as L
 from .functions import text as T
 from .functions.ids import NAMESPACE
 from .plans import catalog
@@ -21,13 +22,19 @@ def _dense(queries: str, where: str = "TRUE", k: int = 20) -> str:
   FROM embeddings c, (SELECT * FROM embeddings WHERE {queries}) q WHERE {where}) WHERE rank <= {k}"""
 
 
-_TERMS = "(SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark)"
-_WORDS = "(SELECT doc_id AS guid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
+_STOP = ", ".join(f"'{w}'" for w in L.STOP)
+_TOKENS = lambda table, key, name: f"(SELECT {key} AS {name}, unnest(regexp_extract_all(lower(text), '{L.TOKEN}')) AS word FROM {table})"
+_TERMS = f"(SELECT DISTINCT query_id, term FROM ({L.stemmed_sql(f'SELECT DISTINCT query_id, word FROM {_TOKENS("benchmark", "item_id", "query_id")} WHERE word NOT IN ({_STOP})')}))"
 
 
-def _keyword(k: int) -> str:
+def _postings(of: str = "documents") -> str:
+    counted = f"SELECT guid, word, count(*) AS n FROM {_TOKENS(of, 'doc_id', 'guid')} WHERE word NOT IN ({_STOP}) GROUP BY ALL"
+    return f"(SELECT guid, term, sum(n)::BIGINT AS tf FROM ({L.stemmed_sql(counted)}) GROUP BY ALL)"
+
+
+def _keyword(k: int, of: str = "documents") -> str:
     return f"""(SELECT * FROM (SELECT query_id, guid, 0.1::DOUBLE * n AS text_rank, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, guid)::INT AS rank
-  FROM (SELECT query_id, guid, count(*) AS n FROM {_WORDS} w JOIN {_TERMS} t USING (term) WHERE term <> 'or' GROUP BY ALL)) WHERE rank <= {k})"""
+  FROM (SELECT query_id, guid, sum(tf) AS n FROM {_postings(of)} p JOIN {_TERMS} t USING (term) GROUP BY ALL)) WHERE rank <= {k})"""
 
 
 _CLASS = "[^ \\t\\n\\x0b\\x0c\\r]+"
@@ -55,9 +62,10 @@ SQL: dict[str, str] = {
     "dense_topk_owner": f"SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, rank FROM ({_dense('vec_id = 0', 'c.label = 3')})",
     "dense_topk_batch": f"SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, rank FROM ({_dense('vec_id % 50 = 0')})",
     "keyword_topk": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20)}",
-    "inverted_index": f"SELECT term, count(DISTINCT guid) AS documents, count(*) AS occurrences FROM {_WORDS} GROUP BY term",
+    "keyword_index": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20, "(SELECT * FROM documents WHERE lang = 'en')")}",
+    "inverted_index": f"SELECT term, count(DISTINCT guid) AS documents, sum(tf)::BIGINT AS occurrences FROM {_postings()} GROUP BY term",
     "rrf_hybrid": f"""WITH lists AS (
-  SELECT query_id, guid, rank, 0 AS list FROM ({_dense('vec_id IN (SELECT item_id FROM benchmark)')}) UNION ALL SELECT query_id, guid, rank, 1 FROM {_keyword(20)}
+  SELECT query_id, guid, rank, 0 AS list FROM ({_dense('vec_id IN (SELECT item_id FROM benchmark)', 'c.vec_id IN (SELECT doc_id FROM documents)')}) UNION ALL SELECT query_id, guid, rank, 1 FROM {_keyword(20)}
 ), fused AS (
   SELECT query_id, guid, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, max(rank) FILTER (WHERE list = 0) AS dense_rank, max(rank) FILTER (WHERE list = 1) AS keyword_rank, min(list * 1000 + rank) AS first FROM lists GROUP BY ALL
 ) SELECT query_id, guid, round(rrf_score, 9) AS rrf_score, dense_rank, keyword_rank, rank FROM (
@@ -82,15 +90,17 @@ SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, manual_rank
     "lang_detect": f"""SELECT doc_id AS guid, CASE WHEN len(regexp_extract_all(text, '[\\x{{0400}}-\\x{{04ff}}]')) > 200 THEN 'ru'
   WHEN len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in T.FRENCH)}))) > len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in T.ENGLISH)}))) THEN 'fr' ELSE 'en' END AS detected
 FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM documents)""",
-    "grounding_words": f"""WITH p AS (SELECT d.doc_id AS guid, regexp_extract_all(lower(b.text), '[a-z'']+') AS a, regexp_extract_all(lower(d.text), '[a-z'']+') AS w FROM documents d JOIN benchmark b ON b.item_id * 5 = d.doc_id),
-e AS (SELECT guid, unnest(a) AS x, generate_subscripts(a, 1) AS i, w FROM p),
-f AS (SELECT guid, x, min(i) AS i FROM e WHERE length(x) > 2 AND list_contains(w, x) AND x NOT IN ({', '.join("'" + x.replace("'", "''") + "'" for x in T.STOPWORDS)}) GROUP BY guid, x),
+    "grounding_words": f"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM benchmark), n AS (SELECT max(item_id) + 1 AS n FROM benchmark),
+p AS (SELECT doc_id AS guid, regexp_extract_all(lower(text), '[a-z'']+') AS a, doc_id % n.n AS item FROM documents, n),
+e AS (SELECT guid, unnest(a) AS x, generate_subscripts(a, 1) AS i, item FROM p),
+f AS (SELECT guid, x, min(i) AS i FROM e JOIN b ON b.item_id = e.item WHERE length(x) > 2 AND list_contains(w, x) AND x NOT IN ({', '.join("'" + x.replace("'", "''") + "'" for x in T.STOPWORDS)}) GROUP BY guid, x),
 r AS (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY i) AS k FROM f)
 SELECT guid, coalesce(string_agg(x, ' ' ORDER BY k) FILTER (WHERE k <= 12), '') AS words FROM p LEFT JOIN r USING (guid) GROUP BY guid""",
-    "text_functions": r"""SELECT page_id AS id, CASE WHEN s = '' THEN 'source' ELSE s END AS slug, md5(t) AS title_md5,
-  (CASE WHEN length(text) <= 1000 THEN length(text) ELSE length(regexp_replace(text[1:1000], '\s+$', '')) + 40 END)::INT AS cut_chars
-FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s, trim(regexp_replace(translate(html[1:200], '<>/', '   '), '\s+', ' ', 'g')) AS t FROM pages) p
-JOIN documents d ON d.doc_id = p.page_id""",
+    "text_functions": r"""SELECT coalesce(page_id, doc_id) AS id, CASE WHEN s = '' THEN 'source' ELSE s END AS slug, md5(t) AS title_md5,
+  (CASE WHEN length(text) <= 1000 THEN length(text) ELSE length(regexp_replace(text[1:1000], '\s+$', '')) + 40 END)::INT AS cut_chars,
+  length(text) BETWEEN 1 AND 100 AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND regexp_matches(text, '^[\p{Lu}\p{Lt}\p{Nd}]') AS heading
+FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s, trim(regexp_replace(translate(html, '<>/', '   '), '\s+', ' ', 'g')) AS t FROM pages) p
+FULL JOIN documents d ON d.doc_id = p.page_id""",
     "qa_markup_check": r"""WITH s AS (SELECT page_id, replace(replace(html, '<p>', '[['), '</p>', ']]') AS src FROM pages),
 o AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN replace(src, ']]', '') ELSE src END AS out FROM s),
 n AS (SELECT *, greatest(length(regexp_replace(src, '\[\[|\]\]|</?sup>', '', 'g')), 1) AS plain FROM o)
@@ -127,15 +137,20 @@ UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, FALSE FROM
     "window_sections": f"""SELECT doc, 'Pages ' || (s + 1) || '-' || least(s + 10, n) AS title, 1 AS level, s::INT AS start_page, (least(s + 10, n) - 1)::INT AS end_page
 FROM (SELECT doc_id AS doc, n_lines AS n, unnest(range(0, n_lines, 10)) AS s FROM {_LINES})""",
     "split_oversized": _split(f"(SELECT doc_id AS doc, source AS title, 1 AS level, 0 AS start_page, n_words - 1 AS end_page FROM {_LINES} WHERE n_words > 0)").replace("{more}", ""),
-    "fallback_sections": _split(f"""(WITH h AS (SELECT * FROM {_HEADINGS} WHERE start < 25),
-n AS (SELECT doc, CASE WHEN count(*) FILTER (WHERE level <= 1) >= 5 THEN 1 WHEN count(*) FILTER (WHERE level <= 2) >= 5 THEN 2 WHEN count(*) FILTER (WHERE level <= 3) >= 5 THEN 3 END AS depth FROM h GROUP BY doc)
-SELECT doc, title, level, start AS start_page, greatest(coalesce(lead(start) OVER (PARTITION BY doc ORDER BY idx) - 1, 24), start) AS end_page, 'outline' AS strategy FROM h JOIN n USING (doc) WHERE level <= depth
-UNION ALL SELECT page_id, 'Pages ' || (s + 1) || '-' || least(s + 10, 25), 1, s, least(s + 10, 25) - 1, 'windows' FROM pages, (VALUES (0), (10), (20)) AS v(s) WHERE page_id NOT IN (SELECT doc FROM n WHERE depth IS NOT NULL))""").replace("{more}", "strategy,"),
+    "fallback_sections": _split(f"""(WITH l AS (SELECT doc_id AS doc, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+o AS (SELECT doc, i, i % 3 + 1 AS level, md5(line) AS title, n FROM l WHERE doc % 3 = 0),
+k AS (SELECT doc, CASE WHEN count(*) FILTER (WHERE level <= 1) >= 5 THEN 1 WHEN count(*) FILTER (WHERE level <= 2) >= 5 THEN 2 WHEN count(*) >= 5 THEN 3 END AS depth FROM o GROUP BY doc),
+h AS (SELECT doc, i, md5(line) AS title, n, count(*) OVER (PARTITION BY doc) AS c FROM l WHERE doc % 3 = 1 AND i > 0),
+g AS (SELECT doc, i, title, n FROM h WHERE c >= 5 AND c <= n UNION ALL SELECT DISTINCT doc, 0, 'Front matter', n FROM h WHERE c >= 5 AND c <= n),
+e AS (SELECT doc, title, level, i AS start_page, coalesce(lead(i) OVER (PARTITION BY doc ORDER BY i) - 1, n - 1) AS end_page, 'outline' AS strategy FROM o JOIN k USING (doc) WHERE level <= depth
+UNION ALL SELECT doc, title, 1, i, coalesce(lead(i) OVER (PARTITION BY doc ORDER BY i) - 1, n - 1), 'headings' FROM g),
+r AS (SELECT DISTINCT doc, n FROM l WHERE doc NOT IN (SELECT doc FROM e))
+SELECT * FROM e UNION ALL SELECT doc, 'Pages ' || (s + 1) || '-' || least(s + 10, n), 1, s, least(s + 10, n) - 1, 'windows' FROM (SELECT doc, n, unnest(range(0, n, 10)) AS s FROM r))""").replace("{more}", "strategy,"),
     "sync_actions": f"WITH {_SNAP} SELECT guid, CASE WHEN s.digest IS NULL THEN 'insert' WHEN w.digest IS NULL THEN 'delete' ELSE 'update' END AS action FROM stored s FULL JOIN wanted w USING (guid) WHERE s.digest IS DISTINCT FROM w.digest",
     "upsert_snapshot": f"WITH {_SNAP} SELECT * FROM wanted UNION ALL SELECT * FROM stored WHERE guid NOT IN (SELECT guid FROM wanted)",
     "insert_absent": f"WITH {_SNAP} SELECT * FROM wanted WHERE guid NOT IN (SELECT guid FROM stored)",
     "source_summary": "SELECT source AS source_key, lang AS language, count(*) AS recognised_pages, min(doc_id) AS first_page, CASE WHEN lang = 'en' THEN max(doc_id) + 1 ELSE count(*) END AS page_count FROM documents GROUP BY source, lang",
-    "translation_targets": """WITH p AS (SELECT DISTINCT source AS source_key, lang AS language FROM documents WHERE n_chars > 3000), l(language, ord) AS (VALUES ('fr', 1), ('en', 2), ('de', 3), ('es', 4), ('ru', 5)),
+    "translation_targets": """WITH p AS (SELECT DISTINCT source AS source_key, lang AS language FROM documents), l(language, ord) AS (VALUES ('fr', 1), ('en', 2), ('de', 3), ('es', 4), ('ru', 5)),
 s AS (SELECT source_key, arg_min(language, ord) AS source_language FROM p JOIN l USING (language) GROUP BY source_key)
 SELECT source_key, source_language, l.language FROM s, l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source_key = s.source_key AND p.language = l.language)""",
     "catalog_attributes": f"""SELECT a.entity || '.' || a.attribute AS code, d.label, a.data_type, a.required, a.repeatable
@@ -144,6 +159,7 @@ FROM (VALUES {_values(catalog.ATTRIBUTES)}) AS a(entity, attribute, data_type, r
 SELECT d.code, d.label, d.parent, p.label AS parent_label, d.ord FROM d LEFT JOIN d p ON p.code = d.parent""",
     "integrity_faults": "SELECT 'chunk without a page' AS fault, doc_id::VARCHAR AS guid FROM documents WHERE doc_id % 13 = 1",
     "box_owner": r"""WITH w AS (SELECT item_id AS page_id, (i - 1)::BIGINT AS word FROM (SELECT item_id, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\x0b\x0c\r]+') AS ws FROM benchmark))),
-c AS (SELECT *, ((word // 10) * 0.03::DOUBLE + 0.05::DOUBLE + 0.02::DOUBLE / 2) * 800 AS cy FROM w)
-SELECT page_id, word, min(o)::INT AS block FROM c, (VALUES (0), (1), (2), (3)) AS b(o) WHERE cy BETWEEN o * 20 + 29 AND o * 20 + 66 GROUP BY ALL""",
+c AS (SELECT *, ((word // 10) * 0.03::DOUBLE + 0.05::DOUBLE + 0.02::DOUBLE / 2) * 800 AS cy FROM w),
+b AS (SELECT page_id, unnest(range(0, floor(max(cy) / 20)::BIGINT + 1)) AS o FROM c GROUP BY page_id)
+SELECT page_id, word, min(o)::INT AS block FROM c JOIN b USING (page_id) WHERE cy BETWEEN o * 20 + 29 AND o * 20 + 66 GROUP BY ALL""",
 }

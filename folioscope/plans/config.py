@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+# Words that switch a setting on or off, and words for no limit.
 TRUE, FALSE = {"true", "1", "yes", "on"}, {"false", "0", "no", "off"}
 UNLIMITED = {"none", "all", "full", "unlimited", "no", "0"}
 

@@ -40,8 +40,7 @@ def _documents(spark, d):
 
 
 def _terms(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words_of(F.col("text")))).alias("term")).filter("term <> 'or'")
+    return search.terms_of(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 def _nine(c: str):
@@ -53,10 +52,10 @@ def _nine(c: str):
 
 @query
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest chunks of one vector."""
+    """The nearest chunks of one vector: a top-k without a window over all rows."""
     v = _vectors(spark, d)
-    one = v.filter("guid = 0").select(F.col("guid").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.dense_search(v, one, 20).select("query_id", "guid", _nine("cosine_distance"), "rank")
+    vector = v.filter("guid = 0").first()["embedding"]
+    return search.dense_search_one(v, vector, 20).select(F.lit(0).cast("long").alias("query_id"), "guid", _nine("cosine_distance"), "rank")
 
 
 @query
@@ -91,18 +90,22 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(_documents(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
 
 
-def _dense_of_items(spark, d, k):
-    v = _vectors(spark, d)
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    q = items.join(v, items.query_id == v.guid).select("query_id", F.col("embedding").alias("vector"))
-    return search.dense_search(v, q, k)
+@query
+def keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same search on postings, which carry the owner, within one language."""
+    index = search.postings(_documents(spark, d), "language")
+    return search.keyword_search(None, _terms(spark, d), 20, language="en", index=index).select("query_id", "guid", _nine("text_rank"), "rank")
 
 
 @query
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and keyword lists fused by reciprocal rank."""
-    lists = {"dense": _dense_of_items(spark, d, 20), "keyword": search.keyword_search(_documents(spark, d), _terms(spark, d), 20)}
-    return search.rrf(lists, top=20).select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
+    """Hybrid search: the vector of a question's number stands for its embedding; documents without a vector are found by words alone."""
+    chunks = _documents(spark, d).join(_vectors(spark, d).select("guid", "embedding"), "guid", "left")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    v = _vectors(spark, d)
+    q = items.join(v, items.query_id == v.guid).select("query_id", F.col("embedding").alias("vector"))
+    out = search.hybrid_search(chunks, q, _terms(spark, d), 20, 20, 20)
+    return out.select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
 
 
 @query
@@ -160,22 +163,21 @@ def lang_detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def grounding_words(spark: SparkSession, d: str) -> DataFrame:
-    """What each benchmark text, as an answer, shares with a document."""
-    b = table(spark, d, "benchmark").select((F.col("item_id") * 5).alias("guid"), F.col("text").alias("answer"))
-    docs = _documents(spark, d)
-    return docs.join(b, "guid").select("guid", F.array_join(T.grounding_words(F.col("answer"), F.col("text")), " ").alias("words"))
+    """What each document, as an answer, shares with the benchmark text that its number falls to."""
+    b = table(spark, d, "benchmark")
+    n = b.agg(F.max("item_id") + 1).first()[0]
+    excerpts = b.select(F.col("item_id").alias("item"), F.col("text").alias("excerpt"))
+    docs = _documents(spark, d).withColumn("item", F.col("guid") % n)
+    return docs.join(excerpts, "item", "left").select("guid", F.array_join(T.grounding_words(F.col("text"), F.coalesce("excerpt", F.lit(""))), " ").alias("words"))
 
 
 @query
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs, titles and truncation where a page and a document share a number; titles of the first 200 characters.
-
-    All pages and documents, whole: :func:`page_titles` and :func:`cut_texts`.
-    """
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), T.slug(F.col("url")).alias("slug"), F.md5(T.clean_title(F.substring("html", 1, 200), "<>/")).alias("title_md5"))
+    """Slugs, titles, truncation and the heading test of all pages and documents, side by side where they share a number."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), T.slug(F.col("url")).alias("slug"), F.md5(T.clean_title(F.col("html"), "<>/")).alias("title_md5"))
     docs = table(spark, d, "documents")
-    cut = docs.select(F.col("doc_id").alias("id"), F.length(T.truncate(F.col("text"), 1000)).alias("cut_chars"))
-    return pages.join(cut, "id")
+    cut = docs.select(F.col("doc_id").alias("id"), F.length(T.truncate(F.col("text"), 1000)).alias("cut_chars"), T.looks_like_heading(F.col("text")).alias("heading"))
+    return pages.join(cut, "id", "full_outer")
 
 
 @query
@@ -258,14 +260,14 @@ def outline_sections(spark: SparkSession, d: str) -> DataFrame:
 @query
 def running_headers(spark: SparkSession, d: str) -> DataFrame:
     """In how many pages each heading stands."""
-    return _headings(spark, d).groupBy("title").agg(F.count_distinct("doc").alias("pages"), F.count(F.lit(1)).alias("times"))
+    return structure.title_spread(_headings(spark, d).select(F.lit(0).alias("doc"), F.col("doc").alias("page"), "title")).select("title", F.col("on_pages").alias("pages"), "times")
 
 
 @query
 def heading_mode(spark: SparkSession, d: str) -> DataFrame:
     """Each page's heading level with most characters, the first seen of equals."""
-    by = _headings(spark, d).groupBy("doc", "level").agg(F.sum(F.length("title")).alias("chars"), F.min("idx").alias("first"))
-    return by.groupBy("doc").agg(F.min_by("level", F.struct(-F.col("chars"), "first")).alias("mode"))
+    lines = _headings(spark, d).select("doc", F.lit(0).alias("page"), F.col("idx").alias("line"), F.col("level").alias("size"), F.col("title").alias("text"))
+    return structure.body_sizes(lines).select("doc", F.col("body").alias("mode"))
 
 
 @query
@@ -295,8 +297,8 @@ def link_sequence(spark: SparkSession, d: str) -> DataFrame:
 @query
 def reading_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where each turn begins in its conversation's text."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).alias("char_start"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return structure.reading_offsets(rows, ["conv_id"], "turn").select("conv_id", "turn", "char_start")
 
 
 def _lines(spark, d):
@@ -323,11 +325,12 @@ def split_oversized(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fallback_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Outline, headings or windows, whichever a page's headings allow."""
-    h = _headings(spark, d)
-    docs = table(spark, d, "pages").select(F.col("page_id").alias("doc"), F.lit(25).alias("n_pages"))
-    none = spark.createDataFrame([], "doc long, page int, title string")
-    return structure.fallback_sections(h.filter("start < 25"), none, docs)
+    """Outline, headings or windows: documents as books, their lines as pages; every third has an outline, every third headings."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("idx", "title"))
+    docs = _lines(spark, d).select(F.col("doc_id").alias("doc"), F.col("n_lines").alias("n_pages"))
+    entries = lines.filter("doc % 3 = 0").select("doc", "idx", (F.col("idx") % 3 + 1).alias("level"), F.md5("title").alias("title"), F.col("idx").alias("start"))
+    headings = lines.filter("doc % 3 = 1 AND idx > 0").select("doc", F.col("idx").alias("page"), F.md5("title").alias("title"))
+    return structure.fallback_sections(entries, headings, docs)
 
 
 # ---------------------------------------------------------------- synchronisation and catalog
@@ -373,13 +376,7 @@ def _targets(spark, docs):
 
 @query
 def translation_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Languages that each source's documents of more than 3000 characters lack; of all documents: :func:`translation_targets_all`."""
-    return _targets(spark, table(spark, d, "documents").filter("n_chars > 3000"))
-
-
-@query
-def translation_targets_all(spark: SparkSession, d: str) -> DataFrame:
-    """Languages that each source's documents lack, of any length."""
+    """Languages that each source's documents lack, and the language they are translated from."""
     return _targets(spark, table(spark, d, "documents"))
 
 
@@ -427,7 +424,7 @@ def align_words(spark: SparkSession, d: str) -> DataFrame:
 def box_owner(spark: SparkSession, d: str) -> DataFrame:
     """Which block holds a word: a range join within pages; the first of several wins."""
     words = _word_boxes(spark, d).select(F.col("page").alias("page_id"), F.col("ord").alias("word"), ((F.col("x") + F.col("w") / 2) * 600).alias("cx"), ((F.col("y") + F.col("h") / 2) * 800).alias("cy"))
-    rects = words.groupBy("page_id").agg(F.max("cy").alias("bottom")).select("page_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"), "bottom")
+    rects = words.groupBy("page_id").agg(F.max("cy").alias("bottom")).select("page_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("bottom") / 20).cast("int"))).alias("ord"))
     rects = rects.select("page_id", "ord", F.col("ord").alias("block"), F.lit(0.0).alias("x0"), (F.col("ord") * 20 + 30).cast("double").alias("y0"), F.lit(600.0).alias("x1"), (F.col("ord") * 20 + 65).cast("double").alias("y1"))
     return layout.owners(words, rects)
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from folioscope.oracle import SQL
+import folioscope.page_queries  # noqa: F401
 from folioscope.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -89,4 +89,44 @@ def test_or_query(q):
 
 def test_or_query_examples():
     assert search.or_query("How many g/kg, 0.8?") == "How OR many OR g/kg OR 0.8" and search.or_query("??") == "??"
-    assert search.query_terms("this or that") == ["that", "this"] and search.pool(5) == 20 and search.pool(1) == 15
+    assert search.pool(5) == 20 and search.pool(1) == 15
+
+
+def asked(spark, *questions):
+    return search.terms_of(spark.createDataFrame(list(enumerate(questions)), "query_id int, text string"))
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame(list(enumerate(rows)), "guid int, text string")
+
+
+def test_keyword_search_drops_noise_and_keeps_numbers(spark):
+    chunks = texts(spark, "the the the the of of to", "0.8 g/kg of protein", "nothing here")
+    got = search.keyword_search(chunks, asked(spark, "What is the RDA of protein, 0.8 g/kg?")).collect()
+    assert [(r.guid, r.rank, round(r.text_rank, 9)) for r in got] == [(1, 1, 0.4)]
+    assert search.keyword_search(chunks, asked(spark, "what is it?")).isEmpty()
+
+
+def test_keyword_search_stems_and_knows_other_scripts(spark):
+    chunks = texts(spark, "Proteins were recommended", "Сколько белка нужно взрослому", "un café crème")
+    terms = asked(spark, "recommending protein", "сколько белка?", "Café!")
+    assert sorted((r.query_id, r.guid) for r in search.keyword_search(chunks, terms).collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert sorted(map(tuple, search.keyword_search(None, terms, index=search.postings(chunks)).collect())) == sorted(map(tuple, search.keyword_search(chunks, terms).collect()))
+
+
+def test_dense_search_takes_only_sound_vectors(spark):
+    chunks = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0]), (3, None), (4, [2.0, 0.0])], "guid int, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0])], "query_id string, vector array<double>")
+    assert [(r.query_id, r.guid, r.cosine_distance) for r in search.dense_search(chunks, q, 5).orderBy("rank").collect()] == [("a", 0, 0.0), ("a", 4, 0.0)]
+    assert search.dense_search(chunks, q.limit(0), 5).isEmpty()
+
+
+def test_expansion_keeps_chunks_without_a_parent_apart(spark):
+    rows = spark.createDataFrame([(0, "g1", None, 1, "a"), (0, "g2", None, 2, "b")], "query_id int, guid string, parent string, rank int, text string")
+    got = search.expand_to_pages(rows, spark.createDataFrame([("p", "x")], "guid string, text string")).orderBy("rank").collect()
+    assert [(r.guid, r.text, r.expanded_from_parent) for r in got] == [("g1", "a", False), ("g2", "b", False)]
+
+
+def test_of_several_overrides_the_highest_holds(spark):
+    by_hand = spark.createDataFrame([("g1", 0.1, "x"), ("g1", 0.7, "y")], "guid string, manual_rank_score double, manual_rank_reason string")
+    assert [r.manual_rank_score for r in search.override(ranked(spark, ["g1"]), by_hand).collect()] == [0.7]
