@@ -6,7 +6,9 @@ A provider is passed explicitly and never kept in a module; what runs on executo
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..operators.search import overlap_score
+from . import prompts
 
 
 class Embedder(Protocol):
@@ -110,21 +113,119 @@ def embed_column(rows: DataFrame, embedder: Embedder, text: str = "text", batch:
     return rows.mapInPandas(run, schema)
 
 
-def translate_missing(units: DataFrame, cache: DataFrame, translate: Callable[[list[str]], list[str]], rounds: int = 2) -> DataFrame:
+def translate_missing(units: DataFrame, cache: DataFrame, translate: Callable[[list[str]], list[str]] | Callable[[dict], dict], rounds: int = 2) -> DataFrame:
     """``id, text`` to ``id, text, translated``: cached translations stay, the rest is asked for, blanks once more.
 
-    ``cache``: ``id, translated``.  Blank replies count as missing; what is missing in the end has null.
+    ``cache``: ``id, translated``; of several for one id the greatest holds.  ``translate`` takes a mapping of ids to texts
+    and gives one of ids to translations, or takes and gives lists in one order.  Replies to ids that weren't asked for,
+    and blank ones, count for nothing; what is missing in the end has null.  Ids keep their type.
     """
-    known = units.join(cache.filter("translated IS NOT NULL AND trim(translated) <> ''"), "id", "left")
+    good = cache.filter("translated IS NOT NULL AND trim(translated) <> ''").groupBy("id").agg(F.max("translated").alias("translated"))
+    known = units.select("id", "text").join(good, "id", "left")
+    by_id = bool(getattr(translate, "by_id", False))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f.copy()
+            done = {k: t for k, t in zip(f["id"], f["translated"], strict=True) if t is not None}
+            texts = dict(zip(f["id"], f["text"], strict=True))
             for _ in range(rounds):
-                todo = f.index[f.translated.isna()]
-                if len(todo):
-                    got = [t.strip() or None for t in translate(f.loc[todo, "text"].tolist())]
-                    f.loc[todo, "translated"] = pd.Series(got, index=todo, dtype=object)
-            yield f[["id", "text", "translated"]]
+                todo = {k: t for k, t in texts.items() if k not in done}
+                if not todo:
+                    break
+                got = translate(todo) if by_id else dict(zip(todo, translate(list(todo.values())), strict=True))
+                done |= {k: t.strip() for k, t in got.items() if k in todo and t and t.strip()}
+            yield f.assign(translated=[done.get(k) for k in f["id"]])[["id", "text", "translated"]]
 
-    return known.select("id", "text", "translated").mapInPandas(run, "id string, text string, translated string")
+    return known.select("id", "text", "translated").mapInPandas(run, known.select("id", "text", "translated").schema)
+
+
+# ---------------------------------------------------------------- recognition
+
+
+class Recogniser(Protocol):
+    """A page image to a mapping of the page schema's shape."""
+
+    def recognise(self, image: bytes, prompt: str, schema: dict) -> dict: ...
+
+
+class Ocr(Protocol):
+    """A file to the texts of its pages."""
+
+    def read(self, content: bytes, dpi: int = 150, psm: int = 6) -> list[str]: ...
+
+
+def json_reply(reply: str) -> dict:
+    """The object of a reply that was asked for JSON, with or without a fence about it."""
+    got = json.loads(re.sub(r"\A\s*```(?:json)?|```\s*\Z", "", reply))
+    if not isinstance(got, dict):
+        raise ValueError("the reply is no object")
+    return got
+
+
+def tool_reply(content: list[dict], name: str) -> dict:
+    """The input of the tool that a reply calls by name: tools force the reply's shape."""
+    for part in content:
+        if part.get("type") == "tool_use" and part.get("name") == name:
+            return part["input"]
+    raise ValueError(f"the reply doesn't call {name}")
+
+
+@dataclass
+class JsonRecogniser:
+    """Recognition by a model that replies in JSON: ``call(image, prompt, schema)`` gives its text."""
+
+    call: Callable[[bytes, str, dict], str]
+
+    def recognise(self, image: bytes, prompt: str, schema: dict) -> dict:
+        return json_reply(self.call(image, prompt, schema))
+
+
+@dataclass
+class ToolRecogniser:
+    """Recognition by a model that is made to call a tool: ``call(image, prompt, tool)`` gives the parts of its reply."""
+
+    call: Callable[[bytes, str, dict], list[dict]]
+    name: str = "page"
+
+    def recognise(self, image: bytes, prompt: str, schema: dict) -> dict:
+        return tool_reply(self.call(image, prompt, {"name": self.name, "input_schema": schema}), self.name)
+
+
+@dataclass(frozen=True)
+class LineOcr:
+    """The offline reader: UTF-8 text, a form feed between pages."""
+
+    def read(self, content: bytes, dpi: int = 150, psm: int = 6) -> list[str]:
+        return [t.replace("\0", "") for t in content.decode("utf-8", "replace").split("\f")]
+
+
+def read_pages(files: DataFrame, reader: Ocr, dpi: int = 150, psm: int = 6) -> DataFrame:
+    """``path, content`` to ``path, page`` (from 0) and ``text``, a row for each page."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                texts = with_retry(lambda content=content: reader.read(bytes(content), dpi, psm))
+                yield pd.DataFrame({"path": path, "page": range(len(texts)), "text": [t.replace("\0", "") for t in texts]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
+def recognise_pages(images: DataFrame, recogniser: Recogniser, prompt: str = prompts.RECOGNISE, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``source_key, language, page, content`` to the same with ``blocks``, as the blocks' builder takes them.
+
+    A reply without blocks is an error and asked for again; the last error is raised, and the task with it.
+    """
+
+    def one(image: bytes) -> str:
+        got = recogniser.recognise(image, prompt, prompts.PAGE_SCHEMA)
+        if not got.get("blocks"):
+            raise ValueError("a page without blocks")
+        return json.dumps(got["blocks"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[["source_key", "language", "page"]].assign(blocks=[with_retry(lambda c=c: one(bytes(c)), attempts, sleep=sleep) for c in f["content"]])
+
+    found = images.select("source_key", "language", F.col("page").cast("int").alias("page"), "content").mapInPandas(run, "source_key string, language string, page int, blocks string")
+    return found.withColumn("blocks", F.from_json("blocks", prompts.PAGE_BLOCKS))

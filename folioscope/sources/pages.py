@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,17 +54,36 @@ def write_page_json(pages: DataFrame, folder: str) -> None:
 
 
 def swap_snapshot(spark: SparkSession, df: DataFrame, folder: str) -> str:
-    """Writes a new snapshot beside the old one and then names it current; readers see the old one or the new one whole."""
-    version = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
+    """Writes a new snapshot beside the old ones and then a pointer to it. Pointers are numbered and never changed, so readers see one snapshot or the next, whole."""
+    version = uuid.uuid4().hex
     path = f"{folder}/snapshot={version}"
     df.write.parquet(path)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    last = _pointers(spark, folder).agg(F.max("number")).first()[0] or 0
+    spark.createDataFrame([(last + 1, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{folder}/pointers")
     return path
 
 
+def _pointers(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "number long, version string"
+    try:
+        return spark.read.schema(schema).json(f"{folder}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{folder}/current").first()[0]
-    return spark.read.parquet(f"{folder}/snapshot={version}")
+    """The snapshot with the greatest number (of two written at once, by version); LookupError before the first."""
+    found = _pointers(spark, folder).orderBy(F.desc("number"), F.desc("version")).first()
+    if found is None:
+        raise LookupError(f"no snapshot in {folder}")
+    return spark.read.parquet(f"{folder}/snapshot={found['version']}")
+
+
+def complete_sources(pages: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Pages of sources that have an index (``source_key, language``) and a page at least."""
+    return pages.join(indexes.select("source_key", "language").distinct(), ["source_key", "language"], "left_semi")
 
 
 def scan_files(spark: SparkSession, folder: str, suffix: str = ".pdf", known: DataFrame | None = None) -> DataFrame:
