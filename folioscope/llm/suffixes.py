@@ -6,22 +6,28 @@ of repeated windows are a text's repeated passages; first occurrences stay.
 1. Anchors: of any ``span`` consecutive word-grams the one with the least hash marks its place, so equal stretches have
    the same anchors.  Only suffixes at anchors are kept, about one in ten.  Each is keyed by the words around the anchor
    that any repeated window holds in full: ``before`` to the left, ``after`` to the right, ``length - span + 1`` in all.
-2. The sparse array is sorted over all partitions by (key, document, place); neighbours are compared, and suffixes that
-   agree with a neighbour remain.
-3. Their matches are extended left and right, a word at a time, as far as a window of ``length`` words about the anchor
-   agrees: the windows' hashes are sorted and neighbours compared in the same way; all but the first of a run repeat.
+   With it goes its whole context: all words, to either side, that a window about the anchor can reach.
+2. The sparse array is sorted over all partitions by (key, context, document, place), and neighbours are compared.  A
+   suffix that has its neighbour's whole context is a match, extended to the left and to the right as far as windows
+   about its anchor reach: one row.  Others that agree with a neighbour in the key alone remain, as does the first suffix
+   of each context.
+3. Those that remain are extended left and right, a word at a time: each window about them has a hash of 128 bits; these
+   are sorted and neighbours compared in the same way, and all but the first of a run repeat.  Every window's first
+   occurrence is at a first suffix of its context, so nothing is lost by step 2.
 4. A text's repeated windows unite to spans.
 
-Whole copies are found by their texts' fingerprints first and take no part in the sort: of equal word sequences of
-``length`` words or more, all but the one with the least id are one repeated span.
+Keys are two independent 64-bit hashes, compared together: about 1e-13 false matches are expected among 1e13 windows.
+Whole copies are found by their texts' fingerprints (128 bits) first and take no part in the sort: of equal word
+sequences of ``length`` words or more, all but the first are one repeated span.
 
 A run that is longer than a partition goes on in the next: order is by key, document and place, and each partition's
-first row is settled against the last row of the partition before.
+first row is settled against the last row of the partition before, in one task that has two rows for each partition.
 
 Defined cases: null texts have no words; rows with a null id are left as they are and are nobody's source; rows that
-share an id and text are one text; of rows that share an id but not the text, one (by fingerprint) is searched and the
-others are left; texts under ``length`` words have no repeats; an empty table gives an empty result; other columns are
-ignored by ``repeats`` and come back from ``without_repeats``.
+share an id and text are one text; rows that share an id but not the text are texts of their own, in order of their
+texts' hashes, and spans reach only their own text; texts under ``length`` words have no repeats; very long texts are
+searched whole; an empty table gives an empty result; other columns are ignored by ``repeats`` and come back from
+``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +39,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_buffers, drop_staged, hashed_words, long_windows, mix, partitions, pieces, staged, text_bytes, windows
+from .common import binary_buffers, carried, drop_staged, hashed_words, long_windows, mix, partitions, pieces, powers, staged, text_bytes, windows
 
 LENGTH = 50
 GRAM = 5
@@ -71,16 +77,31 @@ def anchors(h: np.ndarray, span: int) -> np.ndarray:
     return np.unique(start + ((least[start] - start.astype(np.uint64)) & low).astype(np.int64))
 
 
-def _sequences(docs: DataFrame, length: int, key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_words, fp1, fp2, keys, places``: each text's fingerprint as a sequence, and its anchors."""
+def text_hash(text: str = "text") -> Column:
+    """Tells texts apart that share an id."""
+    return F.xxhash64(text_bytes(text))
+
+
+def _contexts(w: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of all words that windows about each place can reach, and of where the text ends within them."""
+    _, before, after = _plan(length)
+    lo, hi = np.maximum(at + after - length, 0), np.minimum(at - before + length, len(w))
+    power, inverse = powers(len(w) + 1)
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(mix(w ^ np.uint64(0x5851F42D4C957F2D)) * power[: len(w)], out=sums[1:])
+    return mix(mix((sums[hi] - sums[lo]) * inverse[lo]) + (at - lo).astype(np.uint64) * np.uint64(64 * 1024 + 1) + (hi - at).astype(np.uint64))
+
+
+def _sequences(docs: DataFrame, length: int) -> DataFrame:
+    """``doc_id, th, n_words, fp1, fp2, keys, contexts, places``: each text's fingerprint as a sequence, and its anchors."""
     span, before, after = _plan(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, offsets = binary_buffers(batch.column(1))
-            n, fp, keys, places = [], [], [], []
+            data, offsets = binary_buffers(batch.column(2))
+            n, fp, keys, contexts, places = [], [], [], [], []
             for a, b in pieces(offsets):
                 h, _, _, of = hashed_words(data, offsets[a : b + 1], lower=False)
                 for i in range(b - a):
@@ -90,15 +111,14 @@ def _sequences(docs: DataFrame, length: int, key: str = "doc_id") -> DataFrame:
                     at = anchors(w, span) if len(w) >= length else np.zeros(0, np.int64)
                     at = at[(at >= before) & (at + after <= len(w))]
                     keys.append((long_windows(w, before + after)[at - before] if len(at) else np.zeros(0, np.uint64)).tobytes())
+                    contexts.append((_contexts(w, at, length) if len(at) else np.zeros(0, np.uint64)).tobytes())
                     places.append(at.astype("<i4").tobytes())
             f = np.asarray(fp, np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64)), pa.array(keys, pa.binary()), pa.array(places, pa.binary())],
-                names=["doc_id", "n_words", "fp1", "fp2", "keys", "places"],
-            )
+            cols = [pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(f[:, j]).view(np.int64)) for j in (0, 1)), *(pa.array(x, pa.binary()) for x in (keys, contexts, places))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "th", "n_words", "fp1", "fp2", "keys", "contexts", "places"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_bytes().alias("bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, fp1 long, fp2 long, keys binary, places binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("bytes"))
+    return rows.mapInArrow(run, "doc_id long, th long, n_words long, fp1 long, fp2 long, keys binary, contexts binary, places binary")
 
 
 def _fingerprint(w: np.ndarray) -> tuple[int, int]:
@@ -107,107 +127,99 @@ def _fingerprint(w: np.ndarray) -> tuple[int, int]:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """``doc_id, keys, places`` to a row for each anchor: ``key, doc_id, at``."""
+    """``doc_id, th, keys, contexts, places`` to a row for each anchor: ``k1, k2, doc_id, th, at``."""
 
     def run(batches):
         for batch in batches:
-            data, off = binary_buffers(batch.column(1))
-            keys = np.frombuffer(data[off[0] : off[-1]].tobytes(), np.int64)
-            data, places_off = binary_buffers(batch.column(2))
-            places = np.frombuffer(data[places_off[0] : places_off[-1]].tobytes(), "<i4")
-            ids = np.repeat(batch.column(0).to_numpy(), np.diff(off) // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(places)], names=["key", "doc_id", "at"])
+            flat = []
+            for j, kind in ((2, np.int64), (3, np.int64), (4, "<i4")):
+                data, off = binary_buffers(batch.column(j))
+                flat.append(np.frombuffer(data[off[0] : off[-1]].tobytes(), kind))
+            each = np.diff(off) // 4
+            own = [np.repeat(batch.column(j).to_numpy(), each) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat[0], flat[1], *own, flat[2])], names=["k1", "k2", "doc_id", "th", "at"])
 
-    return rows.select("doc_id", "keys", "places").mapInArrow(run, "key long, doc_id long, at int")
+    return rows.select("doc_id", "th", "keys", "contexts", "places").mapInArrow(run, "k1 long, k2 long, doc_id long, th long, at int")
 
 
-_SORTED = "doc_id long, at int, source long, head boolean, tail boolean, part long, key long, twin boolean"
+_ORDER = ("k1", "k2", "doc_id", "th", "at")
+_SORTED = "k1 long, k2 long, doc_id long, th long, at int, source long, twin boolean, head boolean, tail boolean, part long"
 
 
-def _neighbours(spark: SparkSession, rows: DataFrame, both: bool) -> DataFrame:
-    """``key, doc_id, at`` sorted over all partitions, compared with their neighbours.
+def _neighbours(spark: SparkSession, rows: DataFrame, near: bool) -> DataFrame:
+    """``k1, k2, doc_id, th, at`` sorted over all partitions, each row compared with its neighbours.
 
-    ``both``: rows that agree with either neighbour, and every partition's first and last row (a few rows too many do no
-    harm).  Otherwise rows that agree with the one before, with its document as ``source``, and the partitions' first
-    (``head``) and last (``tail``) rows, marked.
+    Rows that agree with the one before in both keys are twins, with its document as ``source``; they stay, as do every
+    partition's first (``head``) and last (``tail``) row and, for ``near``, all rows that agree with either neighbour in
+    the first key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held = None  # the last row so far: its twin may come in the next batch
-        top = True
-
-        def out(key, ids, at, source, keep, head, tail, twin):
-            sel = np.flatnonzero(keep)
-            arr = [ids[sel], at[sel].astype(np.int32), source[sel], head[sel], tail[sel], np.full(len(sel), part, np.int64), key[sel], twin[sel]]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in arr], names=["doc_id", "at", "source", "head", "tail", "part", "key", "twin"])
-
-        def flagged(key, ids, at, before, after, first, last):
-            """All arrays without the neighbours beyond them; before / after: rows or None."""
-            prev_key = np.concatenate(([before[0] if before else ~key[0]], key[:-1]))
-            prev_id = np.concatenate(([before[1] if before else 0], ids[:-1]))
-            prev_at = np.concatenate(([before[2] if before else -1], at[:-1]))
-            same = (key == prev_key) & ((ids != prev_id) | (at != prev_at))  # not the same row twice
-            keep = same.copy()
-            if both:
-                next_key = np.concatenate((key[1:], [after[0] if after else ~key[-1]]))
-                keep |= key == next_key
-            head, tail = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        held, before, top = None, None, True  # the last row so far, whose twin may come in the next batch; the row before it
+
+        def flagged(cols, before, after, first, last):
+            """``cols`` compared with each other and with the rows beyond them, ``before`` and ``after``, or None."""
+            prev = [np.concatenate(([b], c[:-1])) for b, c in zip(before or [c[0] for c in cols], cols, strict=True)]
+            alike = cols[0] == prev[0]
+            alike[0] &= before is not None
+            twin = alike & (cols[1] == prev[1]) & ((cols[2] != prev[2]) | (cols[3] != prev[3]) | (cols[4] != prev[4]))  # not the same row twice
+            head, tail = np.zeros(len(twin), bool), np.zeros(len(twin), bool)
             head[0], tail[-1] = first, last
-            return out(key, ids, at, prev_id, keep | head | tail, head, tail, same)
+            keep = twin | head | tail
+            if near:
+                keep |= alike
+                keep[:-1] |= alike[1:]
+                keep[-1] |= after is not None and after[0] == cols[0][-1]
+            sel = np.flatnonzero(keep)
+            out = [c[sel] for c in (*cols, prev[2], twin, head, tail)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, np.full(len(sel), part, np.int64))], names=["k1", "k2", "doc_id", "th", "at", "source", "twin", "head", "tail", "part"])
 
-        before = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, at = (batch.column(i).to_numpy() for i in range(3))
+            cols = [batch.column(j).to_numpy() for j in range(5)]
             if held is not None:
-                key, ids, at = (np.concatenate(([x], y)) for x, y in zip(held, (key, ids, at), strict=True))
-            if len(key) > 1:
-                yield flagged(key[:-1], ids[:-1], at[:-1], before, (key[-1],), top, False)
-                before, top = (key[-2], ids[-2], at[-2]), False
-            held = (key[-1], ids[-1], at[-1])
+                cols = [np.concatenate(([h], c)) for h, c in zip(held, cols, strict=True)]
+            if len(cols[0]) > 1:
+                yield flagged([c[:-1] for c in cols], before, [c[-1] for c in cols], top, False)
+                before, top = [c[-2] for c in cols], False
+            held = [c[-1] for c in cols]
         if held is not None:
-            yield flagged(*(np.asarray([x]) for x in held), before, None, top, True)
+            yield flagged([np.asarray([h]) for h in held], before, None, top, True)
 
-    n = max(partitions(spark), 1)
-    order = rows.repartitionByRange(n, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at")
-    return order.mapInArrow(run, _SORTED)
+    order = rows.repartitionByRange(max(partitions(spark), 1), *_ORDER).sortWithinPartitions(*_ORDER)
+    return order.select(*_ORDER).mapInArrow(run, _SORTED)
 
 
-def _settled(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """``doc_id, at, source`` of all rows but the first of each run, with partitions' first rows settled."""
-    found = staged(spark, _neighbours(spark, rows, both=False), "runs")
-    inner = found.filter("twin").select("doc_id", "at", "source")
-    ends = found.filter("head OR tail").select("part", "head", "tail", "key", "doc_id", "at")  # two rows for each partition at most
-    by_part = ends.groupBy("part").agg(
-        *[F.max(F.when(F.col("head"), F.col(c))).alias(f"first_{c}") for c in ("key", "doc_id", "at")],
-        *[F.max(F.when(F.col("tail"), F.col(c))).alias(f"last_{c}") for c in ("key", "doc_id", "at")],
-    )
-    order = Window.orderBy("part")
-    heads = by_part.withColumn("prev_key", F.lag("last_key").over(order)).withColumn("source", F.lag("last_doc_id").over(order)).withColumn("prev_at", F.lag("last_at").over(order))
-    return inner.unionByName(heads.filter("first_key = prev_key AND (first_doc_id <> source OR first_at <> prev_at)").select(F.col("first_doc_id").alias("doc_id"), F.col("first_at").cast("int").alias("at"), "source"))
+def _settled(found: DataFrame) -> DataFrame:
+    """``doc_id, th, at, source`` of all rows but the first of each run, with partitions' first rows settled."""
+    inner = found.filter("twin").select("doc_id", "th", "at", "source")
+    ends = found.filter("head OR tail")  # two rows for each partition at most
+    by_part = ends.groupBy("part").agg(*[F.max(F.when(F.col(end), F.col(c))).alias(f"{end}_{c}") for end in ("head", "tail") for c in _ORDER])
+    before = Window.orderBy("part")
+    heads = by_part.select(*[F.col(f"head_{c}").alias(c) for c in _ORDER], *[F.lag(f"tail_{c}").over(before).alias(f"prev_{c}") for c in _ORDER])
+    twin = "k1 = prev_k1 AND k2 = prev_k2 AND (doc_id <> prev_doc_id OR th <> prev_th OR at <> prev_at)"
+    return inner.unionByName(heads.filter(twin).select("doc_id", "th", "at", F.col("prev_doc_id").alias("source")))
 
 
 def _extended(docs: DataFrame, near: DataFrame, length: int) -> DataFrame:
-    """Hashes of the windows of ``length`` words about the anchors that remain: ``key, doc_id, at``, each window once."""
+    """Hashes of the windows of ``length`` words about the anchors that remain: ``k1, k2, doc_id, th, at``, each window once."""
     _, before, after = _plan(length)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("bytes"))
+    names = ["k1", "k2", "doc_id", "th", "at"]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, offsets = binary_buffers(batch.column(1))
-            places, fps = batch.column(2), batch.column(3).to_numpy()
-            ids = batch.column(0).to_numpy()
-            out = ([], [], [])
+            data, offsets = binary_buffers(batch.column(2))
+            places, ids, ths = batch.column(3), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = ([], [], [], [], [])
             for a, b in pieces(offsets):
                 h, _, _, of = hashed_words(data, offsets[a : b + 1], lower=False)
                 for i in range(b - a):
                     w = h[of[i] : of[i + 1]]
-                    if len(w) < length or np.uint64(_fingerprint(w)[0]).view(np.int64) != fps[a + i]:
-                        continue
                     at = places[a + i].values.to_numpy()
                     # windows that hold the anchor with its key's words: from at + after - length to at - before
                     n = len(w) - length + 1
@@ -215,67 +227,72 @@ def _extended(docs: DataFrame, near: DataFrame, length: int) -> DataFrame:
                     np.add.at(edge, np.clip(at + after - length, 0, None), 1)
                     np.add.at(edge, at - before + 1, -1)
                     starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                    out[0].append(long_windows(w, length)[starts].view(np.int64))
-                    out[1].append(np.full(len(starts), ids[a + i]))
-                    out[2].append(starts.astype(np.int32))
-                if sum(map(len, out[2])) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "doc_id", "at"])
-                    out = ([], [], [])
+                    two = (long_windows(w, length)[starts], long_windows(mix(w ^ np.uint64(0xD1342543DE82EF95)), length)[starts])
+                    row = (*(k.view(np.int64) for k in two), np.full(len(starts), ids[a + i]), np.full(len(starts), ths[a + i]), starts.astype(np.int32))
+                    for col, v in zip(out, row, strict=True):
+                        col.append(v)
+                if sum(map(len, out[4])) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                    out = ([], [], [], [], [])
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return own.join(near, "doc_id").select("doc_id", "bytes", "places", "fp1").mapInArrow(run, "key long, doc_id long, at int")
+    return own.join(near, ["doc_id", "th"]).select("doc_id", "th", "bytes", "places").mapInArrow(run, "k1 long, k2 long, doc_id long, th long, at int")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, start, n_words, source_id, whole``: each repeated span, in words, and a document that has it earlier.
+    """``doc_id, start, n_words, source_id, whole``: each repeated span, in words, and a document that has its beginning earlier.
 
     ``whole``: the text is a copy, word for word, of ``source_id``'s.
     """
+    return _repeats(spark, docs, length).select("doc_id", "start", "n_words", "source_id", "whole")
+
+
+def _repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
+    """:func:`repeats` with ``th``, the text's hash."""
+    _, before, after = _plan(length)
     seqs = staged(spark, _sequences(docs, length), "sequences")
     long = seqs.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
-    firsts = long.groupBy("fp1", "fp2", "n_words").agg(F.min("doc_id").alias("first_id"))
-    copies = (
-        long.select("doc_id", "n_words", "fp1", "fp2").join(firsts, ["fp1", "fp2", "n_words"]).filter("doc_id <> first_id")
-        .select("doc_id", F.lit(0).cast("long").alias("start"), "n_words", F.col("first_id").alias("source_id"), F.lit(True).alias("whole")).distinct()
-    )
-    # of each group of copies the first; of rows that share an id the one with the least fingerprint
-    one = firsts.groupBy(F.col("first_id").alias("doc_id")).agg(F.min(F.struct("fp1", "fp2")).alias("f")).select("doc_id", "f.fp1", "f.fp2")
-    searched = long.filter(F.length("places") > 0).join(one, ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"])
-    near = _neighbours(spark, _spread(searched), both=True).groupBy("doc_id").agg(F.collect_set("at").alias("places")).join(one, "doc_id").select("doc_id", "places", "fp1")
-    near = staged(spark, near, "anchors")
-    rows = staged(spark, _extended(docs, near, length), "windows")
-    drop_staged(spark, near)
-    repeated = _settled(spark, rows)
-    spans = _spans(repeated, length).withColumn("whole", F.lit(False))
-    return spans.unionByName(copies).select("doc_id", "start", "n_words", "source_id", "whole")
+    firsts = staged(spark, long.groupBy("fp1", "fp2", "n_words").agg(F.min(F.struct("doc_id", "th")).alias("first")), "firsts")
+    same = ["fp1", "fp2", "n_words"]
+    copies = long.select("doc_id", "th", *same).join(firsts, same).filter("doc_id <> first.doc_id OR th <> first.th")
+    copies = copies.select("doc_id", "th", F.lit(0).cast("long").alias("start"), "n_words", F.col("first.doc_id").alias("source_id"), F.lit(True).alias("whole")).distinct()
+    one = firsts.select("first.doc_id", "first.th", *same)
+    searched = long.filter(F.length("places") > 0).join(one, ["doc_id", "th", *same], "left_semi").dropDuplicates(["doc_id", "th"])
+    sorted_ = staged(spark, _neighbours(spark, _spread(searched), near=True), "anchors")
+    # matches in the whole context: windows that begin from at + after - length to at - before, within the text
+    lo, hi = F.greatest(F.col("at") + after - length, F.lit(0)), F.least(F.col("at") - before, F.col("n_words").cast("int") - length)
+    sizes = one.select("doc_id", "th", "n_words")
+    matched = sorted_.filter("twin").join(sizes, ["doc_id", "th"]).select("doc_id", "th", lo.alias("lo"), hi.alias("hi"), "source")
+    rest = sorted_.filter("NOT twin").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
+    windows_ = staged(spark, _neighbours(spark, _extended(docs, rest, length), near=False), "runs")
+    repeated = matched.unionByName(_settled(windows_).select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"), "source"))
+    spans = staged(spark, _spans(repeated, length), "spans")
+    drop_staged(spark, sorted_, windows_)
+    return spans.withColumn("whole", F.lit(False)).unionByName(copies)
 
 
 def _spans(repeated: DataFrame, length: int) -> DataFrame:
-    """Windows that touch or overlap unite; a text's windows are no more than its words."""
-    w = Window.partitionBy("doc_id").orderBy("at")
-    new = F.coalesce((F.col("at") > F.lag("at").over(w) + length).cast("int"), F.lit(1))
+    """Stretches of windows that touch or overlap unite; a text's are no more than its words."""
+    w = Window.partitionBy("doc_id", "th").orderBy("lo", "hi")
+    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("lo") > reach + length).cast("int"), F.lit(1))
     groups = repeated.withColumn("new", new).withColumn("g", F.sum("new").over(w))
-    return groups.groupBy("doc_id", "g").agg(F.min("at").cast("long").alias("start"), (F.max("at") - F.min("at") + length).cast("long").alias("n_words"), F.min_by("source", "at").alias("source_id")).drop("g")
+    ends = [F.min("lo").cast("long").alias("start"), (F.max("hi") - F.min("lo") + length).cast("long").alias("n_words"), F.min_by("source", F.struct("lo", "source")).alias("source_id")]
+    return groups.groupBy("doc_id", "th", "g").agg(*ends).drop("g")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out, and ``n_chars``, where there is one, set right; texts with no word left go."""
-    spans = repeats(spark, docs, length).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("_spans"))
-    own = docs.columns
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("_spans")))
-    out = joined.withColumn("_text", text).filter(F.col("_spans").isNull() | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
-    changed = F.col("_spans").isNotNull()
-    cols = []
-    for c in own:
-        if c == "text":
-            cols.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(changed, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return out.select(*cols)
+    spans = _repeats(spark, docs, length).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
+    rows = carried(docs, F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th")).join(spans, ["doc_id", "th"], "left")
+    changed = F.col("spans").isNotNull()
+    text = F.when(changed, _cut(F.col("row")["text"], F.col("spans"))).otherwise(F.col("row")["text"])
+    out = rows.select("row", "spans", text.alias("cut")).filter(~changed | F.col("cut").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
