@@ -34,7 +34,8 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(spark, _table(spark, sf_dir, "documents"))
+    """Spans without the document that has them earlier: of several, which one the operator names depends on what it compared."""
+    return suffixes.repeats(spark, _table(spark, sf_dir, "documents")).select("doc_id", "start", "n_words", "whole")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +157,45 @@ SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN d.last IS NOT NULL AND p.page_id IS DISTINCT FROM d.last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN d.last IS NOT NULL AND p.page_id IS DISTINCT FROM d.last THEN d.last END AS refers_to
 FROM p LEFT JOIN d ON p.digest = d.digest AND p.n = d.n
+""",
+    # components of links by brute force: texts with equal sets are joined first, then sets that share a shingle
+    "op1_minhash_near_dedup": rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_WORD}'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))) END AS sh FROM t
+), r AS (
+  SELECT min(doc_id) AS id, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
+), e AS (
+  SELECT id, n, unnest(sh) AS x FROM r
+), links AS (
+  SELECT a, b FROM (SELECT p.id AS a, q.id AS b, p.n AS m, q.n AS n, count(*) AS k FROM e p JOIN e q ON p.x = q.x AND p.id < q.id GROUP BY ALL) WHERE 100 * k >= 80 * (m + n - k)
+), ends AS (
+  SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT id AS u, id AS v FROM r WHERE id IN (SELECT u FROM ends) UNION SELECT reach.u, ends.v FROM reach JOIN ends ON reach.v = ends.u
+), c AS (
+  SELECT r.sh, coalesce(min(reach.v), min(r.id)) AS component FROM r LEFT JOIN reach ON reach.u = r.id GROUP BY r.sh
+)
+SELECT doc_id, len(s.sh)::BIGINT AS n_shingles, CASE WHEN len(s.sh) = 0 THEN doc_id ELSE c.component END AS component_id, len(s.sh) = 0 OR c.component = doc_id AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh
+""",
+    # all windows of 50 words; of equal texts the first stands for all
+    "op5_suffix_array_dedup": rf"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+), f AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY ws) AS first FROM t WHERE len(ws) >= 50
+), w AS (
+  SELECT doc_id, i AS p, array_to_string(ws[i + 1:i + 50], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM f WHERE doc_id = first)
+), r AS (
+  SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), g AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM r)
+)
+SELECT doc_id, min(p)::BIGINT AS start, (max(p) - min(p) + 50)::BIGINT AS n_words, FALSE AS whole FROM g GROUP BY doc_id, g
+UNION ALL SELECT doc_id, 0, len(ws)::BIGINT, TRUE FROM f WHERE doc_id <> first
 """,
     # exact; the curves' windows hold all vectors of tables up to their width
     "op3_nearest_neighbours": """
