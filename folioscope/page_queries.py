@@ -476,3 +476,16 @@ SQL["page_titles"] = r"""SELECT page_id, CASE WHEN s = '' THEN 'source' ELSE s E
 SQL["cut_texts"] = r"SELECT doc_id, (CASE WHEN length(text) <= 1000 THEN length(text) ELSE length(regexp_replace(text[1:1000], '\s+$', '')) + 40 END)::INT AS cut_chars FROM documents"
 SQL["romanize"] = "SELECT item_id, md5(text || ' ahiṃsā') AS romanized_md5 FROM benchmark"
 SQL["fold_text"] = "SELECT doc_id AS guid, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS folded_md5 FROM documents"
+SQL["accepted_markers"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, trunc(event_id % 7 * 2 + value % 5)::INT % 12 + 1 AS n FROM events), l AS (SELECT user_id, list(n ORDER BY event_id) AS cs FROM e GROUP BY user_id),
+s AS (SELECT user_id, cs, 0 AS i, 0 AS last, []::INT[] AS run FROM l UNION ALL
+  SELECT user_id, cs, i + 1, CASE WHEN ok THEN n ELSE last END, CASE WHEN ok THEN list_append(run, n) ELSE run END
+  FROM (SELECT *, cs[i + 1] AS n, cs[i + 1] <= 10 AND (cs[i + 1] = last + 1 OR (cs[i + 1] BETWEEN last + 2 AND last + 4 AND NOT list_contains(cs[i + 2:i + 7], last + 1))) AS ok FROM s WHERE i < len(cs)))
+SELECT user_id, array_to_string(run, ',') AS run FROM s WHERE i = len(cs)"""
+# of two equal words on a line, one of which the layer lacks, the later one is paired
+SQL["align_words"] = r"""WITH w AS (SELECT item_id AS page, ws[i] AS text, i - 1 AS ord FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\x0b\x0c\r]+') AS ws FROM benchmark))),
+f AS (SELECT *, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g') AS f FROM w),
+t AS (SELECT *, ord % 7 = 3 AND ord % 10 > 0 AND f <> '' AND f = lag(f) OVER (PARTITION BY page ORDER BY ord) AS takes FROM f),
+g AS (SELECT *, coalesce(lead(takes) OVER (PARTITION BY page ORDER BY ord), FALSE) AS gives FROM t),
+m AS (SELECT *, (ord % 7 = 3 AND NOT coalesce(takes, FALSE)) OR gives AS own FROM g)
+SELECT page, ord, text, round((CASE WHEN takes THEN ord - 1 ELSE ord END) % 10 * 0.09 + 0.05 + CASE WHEN own THEN 0 ELSE 0.004 END, 4)::DOUBLE AS x, round(ord // 10 * 0.03 + 0.05, 4)::DOUBLE AS y,
+  CASE WHEN own THEN 'recogniser' ELSE 'pdf_text_layer' END AS bbox_source FROM m"""
