@@ -1,9 +1,13 @@
 """Nearest neighbours by largest inner product, over shifted space-filling curves.
 
-Vectors are projected to a few dimensions, shifted, and ordered along a Hilbert curve; several projections and shifts
-give several orders.  Spark deals each order by range of key, and prefix sums cut it into runs of ``run`` vectors.  A query goes to its own
-run and to those within ``window / 2`` vectors to either side; a run and its queries are compared as matrices, each run
-gives a query's best, and all lists merge, each vector once.
+Vectors are projected to a few dimensions, in which a sample spreads widely, shifted, and ordered along a Hilbert curve;
+several projections and shifts give several orders.  Spark deals each order by range of key, and prefix sums cut it into
+runs of ``run`` vectors.  A query goes to its own run and to those within ``window / 2`` vectors to either side; a run and
+its queries are compared as matrices, each run gives a query's best, and all lists merge, each vector once.
+
+Of equal vectors only the ``top + 1`` with the least ids can be among anyone's nearest, so no others are candidates.
+Products of a block may differ from exact scores in the last bits; all that may be among the best by then are kept, and
+scored anew on the original vectors.
 
 ``window`` is the least.  Where it doesn't hold all vectors, a bounded sample of queries is compared with all vectors,
 and windows grow until the sample finds ``recall`` of its true nearest (less two standard errors).  Windows grow by wider
@@ -14,8 +18,8 @@ whose work grows with queries times vectors.  Recall is measured against brute f
 
 Defined cases: vectors that are null, zero, or hold nulls or numbers that aren't finite take no part; nor do those whose
 length isn't the commonest; equal scores stand in order of id; rows that share an id are one candidate by their best
-score; a null id takes no part; fewer candidates than ``top`` give all; an empty table gives none; other columns are
-ignored.
+score; a null id takes no part; fewer candidates than ``top`` give all; equal vectors, however many, are found by their
+least ids; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import drop_staged, partitions, staged
 
 BITS = 8
+EPSILON = 1e-9  # relative; products of a block are much closer to exact scores
 WHOLE = 24  # parts of an order that is compared as a whole
 ASKED = 2048  # queries compared at once where windows have grown
 
@@ -39,8 +44,8 @@ ASKED = 2048  # queries compared at once where windows have grown
 class Curves:
     orders: int = 5
     dims: int = 3
-    window: int = 16_384
-    run: int = 4096
+    window: int = 2048
+    run: int = 1024
     sample: int = 20_000  # vectors from which the cells' bounds are fitted
     seed: int = 11
     recall: float = 0.9  # what windows grow to reach
@@ -77,11 +82,16 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Frame:
-    """One order: directions, and for each the bounds that spread a sample evenly over the curve's cells, shifted."""
+    """One order: directions, and for each the bounds that spread a sample evenly over the curve's cells, shifted.
+
+    Directions are drawn at random and turned to where the sample varies most.
+    """
 
     def __init__(self, sample: np.ndarray, dims: int, rng: np.random.Generator):
         d = sample.shape[1]
-        self.axes = np.linalg.qr(rng.normal(size=(d, min(d, dims))))[0]
+        spread = np.cov(sample, rowvar=False).reshape(d, d) if len(sample) > 1 else np.eye(d)
+        drawn = rng.normal(size=(d, min(d, dims)))
+        self.axes = np.linalg.qr(spread @ drawn + 1e-6 * max(np.trace(spread), 1e-300) * drawn)[0]
         self.shift = rng.uniform(0, 0.5, self.axes.shape[1])
         y = np.sort(sample @ self.axes, axis=0)
         self.bounds = [np.unique(y[np.linspace(0, len(y) - 1, 256).astype(int), i]) for i in range(y.shape[1])]
@@ -109,7 +119,7 @@ def _stack(column) -> np.ndarray:
 
 def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, how: Curves = Curves(), id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row for which ``is_query`` (a Column over ``vec_id``) holds, its ``top`` nearest others found."""
-    rows = staged(spark, usable(vectors, id_column, vector), "vectors")
+    rows = staged(spark, _candidates(usable(vectors, id_column, vector), is_query, top), "vectors")
     spread = F.xxhash64("vec_id", F.lit(how.seed))
     sample = rows.orderBy(spread, "vec_id").limit(how.sample).toArrow()  # a bounded sample
     total = rows.count()
@@ -118,7 +128,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
     seen = _stack(sample["v"].combine_chunks())
     rng = np.random.default_rng(how.seed)
     frames = [Frame(seen, how.dims, rng) for _ in range(how.orders)]
-    placed = _in_runs(spark, staged(spark, _placed(rows, frames, max(1, -(-total // how.run))), "curves"), how.run)
+    curves = staged(spark, _placed(rows, frames, max(partitions(spark), 1)), "curves")
+    placed = _in_runs(spark, curves, how.run)
+    drop_staged(spark, curves)
     runs = -(-total // how.run)
     side = -(-how.window // (2 * how.run))
     reach = side if 2 * side + 1 >= runs else _reach(rows, placed, is_query, top, how, runs, side)
@@ -132,7 +144,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
     # at the ends of an order the window moves inwards
     width = min(n, 2 * side + 1)
     own = F.floor(F.col("run") / wide).cast("int")
-    block = placed.groupBy("ord", "run").agg(F.collect_list(F.struct("vec_id", "v")).alias("c")).select("ord", own.alias("at"), "c")
+    block = placed.filter("candidate").groupBy("ord", "run").agg(F.collect_list(F.struct("vec_id", "v")).alias("c")).select("ord", own.alias("at"), "c")
     queries = placed.filter(is_query)
     lists = max(1, -(-queries.filter("ord = 0").count() * width // (n * ASKED))) if grown else 1
     low = F.greatest(F.lit(0), F.least(own - side, F.lit(n - width)))
@@ -153,8 +165,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
                     best = np.concatenate([held, best], 1)
                     best = -np.partition(-best, min(top, best.shape[1]) - 1, axis=1)[:, :top]
                 seen, held = (order, qi), best
-                # all that equal the last of the best could matter: ties go by id
-                a, b = np.nonzero((s >= best.min(axis=1)[:, None]) & np.isfinite(s))
+                a, b = _may_matter(s, ci, best.min(axis=1), top)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ci[b]), pa.array(s[a, b])], names=["query_id", "vec_id", "s"])
 
     met = asked.join(block, ["ord", "at"]).select("q", "c", "ord").mapInArrow(compare, "query_id long, vec_id long, s double")
@@ -162,14 +173,43 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query, top: int = 20, ho
         met = staged(spark, met, "met")  # in small batches: a task compares many blocks
     once = met.groupBy("query_id", "vec_id").agg(F.max("s").alias("s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    few = once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top + 4)
-    q, c = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("x")), rows.select("vec_id", F.col("v").alias("y"))
+    last = F.min(F.when(F.col("r") <= top, F.col("s"))).over(Window.partitionBy("query_id"))
+    few = once.withColumn("r", F.row_number().over(order)).withColumn("last", last).filter((F.col("r") <= top) | (F.col("s") >= F.col("last") - EPSILON * (F.abs("last") + 1)))
+    q, c = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("x")), rows.filter("candidate").select("vec_id", F.col("v").alias("y"))
     exact = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = few.join(q, "query_id").join(c, "vec_id").select("query_id", "vec_id", exact.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    scored = few.select("query_id", "vec_id").join(q, "query_id").join(c, "vec_id").select("query_id", "vec_id", exact.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def _candidates(sound: DataFrame, is_query, top: int) -> DataFrame:
+    """``vec_id, v, candidate``: of equal vectors the ``top + 1`` least ids (the query itself may be one), and all queries."""
+    same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    first = sound.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= top + 1).drop("r")
+    late = sound.filter(is_query).join(first.select("vec_id").distinct(), "vec_id", "left_anti")
+    return first.withColumn("candidate", F.lit(True)).unionByName(late.withColumn("candidate", F.lit(False)))
+
+
+def _may_matter(s: np.ndarray, ids: np.ndarray, last: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that may be among each row's best ``top``: those above the last of the best, and of those that can't be told from it the largest and the least ids."""
+    band = EPSILON * (np.abs(last) + 1)
+    a, b = np.nonzero((s >= (last - band)[:, None]) & np.isfinite(s))
+    count = np.bincount(a, minlength=len(s))
+    many = np.flatnonzero(count > 2 * top)
+    if not len(many):
+        return a, b
+    keep = np.ones(len(a), bool)
+    begin = np.concatenate(([0], np.cumsum(count)))
+    for i in many:
+        own = np.arange(begin[i], begin[i + 1])
+        v = s[i, b[own]]
+        unsure = np.flatnonzero(v <= last[i] + band[i])
+        keep[own[unsure]] = False
+        for order in (np.argsort(-v[unsure], kind="stable"), np.argsort(ids[b[own[unsure]]], kind="stable")):
+            keep[own[unsure[order[:top]]]] = True
+    return a[keep], b[keep]
+
+
 def _reach(rows: DataFrame, placed: DataFrame, is_query, top: int, how: Curves, runs: int, least: int) -> int:
     """Runs to either side, ``least`` or more, by which a sample of queries finds ``how.recall`` of its true nearest."""
     asked = rows.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(how.seed)), "vec_id").limit(how.probes).toArrow()  # a bounded sample
@@ -191,7 +231,7 @@ def _reach(rows: DataFrame, placed: DataFrame, is_query, top: int, how: Curves,
         a, b = np.nonzero(np.isfinite(scores))
         yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ids[a, b]), pa.array(scores[a, b])], names=["query_id", "vec_id", "s"])
 
-    found = rows.mapInArrow(best, "query_id long, vec_id long, s double").groupBy("query_id", "vec_id").agg(F.max("s").alias("s"))
+    found = rows.filter("candidate").select("vec_id", "v").mapInArrow(best, "query_id long, vec_id long, s double").groupBy("query_id", "vec_id").agg(F.max("s").alias("s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
     pairs = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).select("query_id", "vec_id").toPandas()
     ids = np.unique(np.concatenate([qi, pairs["vec_id"].to_numpy(np.int64)]))  # probes times top at most
@@ -202,15 +242,17 @@ def _reach(rows: DataFrame, placed: DataFrame, is_query, top: int, how: Curves,
     # straight, or by a window that stands at an end of the order
     end = runs - 1
     need = np.minimum(np.abs(a - b), np.minimum(np.maximum(a, -(-b // 2)), np.maximum(end - a, -(-(end - b) // 2)))).min(axis=1)
-    for reach in range(least, runs):
-        share = pairs.assign(hit=need <= reach).groupby("query_id")["hit"].mean().to_numpy(float)
+    _, of = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
+    each = np.bincount(of)
+    for reach in [least, *np.unique(need[(need > least) & (need < runs)]).astype(int).tolist()]:  # as many as pairs, at most
+        share = np.bincount(of, weights=need <= reach) / each
         if not len(share) or share.mean() - 2 * share.std() / np.sqrt(len(share)) >= how.recall:
             return reach
     return runs
 
 
-def _placed(rows: DataFrame, frames: list[Frame], runs: int) -> DataFrame:
-    """``ord, part, key, vec_id, v``: every vector in each order, dealt by range of key and id."""
+def _placed(rows: DataFrame, frames: list[Frame], parts: int) -> DataFrame:
+    """``ord, part, key, vec_id, v, candidate``: every vector in each order, dealt by range of key and id."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,19 +260,19 @@ def _placed(rows: DataFrame, frames: list[Frame], runs: int) -> DataFrame:
                 v = _stack(batch.column(1))
                 k = np.stack([f.keys(v) for f in frames], 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(frames)), pa.array(k.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["vec_id", "v", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["vec_id", "v", "candidate", "keys"])
 
-    keyed = rows.mapInArrow(keys, "vec_id long, v array<double>, keys array<long>")
+    keyed = rows.select("vec_id", "v", "candidate").mapInArrow(keys, "vec_id long, v array<double>, candidate boolean, keys array<long>")
     out = None
     for o in range(len(frames)):
-        dealt = keyed.select("vec_id", "v", F.col("keys")[o].alias("key")).repartitionByRange(runs, "key", "vec_id")
-        part = dealt.select(F.lit(o).alias("ord"), F.spark_partition_id().alias("part"), "key", "vec_id", "v")
+        dealt = keyed.select("vec_id", "v", "candidate", F.col("keys")[o].alias("key")).repartitionByRange(parts, "key", "vec_id")
+        part = dealt.select(F.lit(o).alias("ord"), F.spark_partition_id().alias("part"), "key", "vec_id", "v", "candidate")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _in_runs(spark: SparkSession, placed: DataFrame, size: int) -> DataFrame:
-    """``ord, run, vec_id, v``: places along each order, from the partitions' counts and places within them, cut into runs of one size.
+    """``ord, run, vec_id, v, candidate``: places along each order, from the partitions' counts and places within them, cut into runs of one size.
 
     Equal keys are told apart by id, so a key that many vectors share spans runs.
     """
@@ -238,7 +280,7 @@ def _in_runs(spark: SparkSession, placed: DataFrame, size: int) -> DataFrame:
     counts = placed.groupBy("ord", "part").agg(F.count(F.lit(1)).alias("n")).select("ord", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("ord", "part").orderBy("key", "vec_id")) - 1
     ranked = placed.withColumn("within", within).join(counts, ["ord", "part"])
-    return staged(spark, ranked.select("ord", F.floor((F.col("before") + F.col("within")) / size).cast("int").alias("run"), "vec_id", "v"), "runs")
+    return staged(spark, ranked.select("ord", F.floor((F.col("before") + F.col("within")) / size).cast("int").alias("run"), "vec_id", "v", "candidate"), "runs")
 
 
 def _members(structs) -> tuple[np.ndarray, np.ndarray]:

@@ -62,3 +62,27 @@ def test_what_takes_no_part(spark):
     got = [tuple(r) for r in hilbert.nearest(spark, df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 2, 0.5), (0, 2, 3, 0.5), (0, 3, 1, -1.0)]
     assert hilbert.nearest(spark, df.limit(0), F.col("vec_id") % 20 == 0).isEmpty()
+
+
+def test_many_equal_vectors_and_repeated_ids(spark):
+    v = [[1.0, 0.0]] * 400 + [[0.1 * (i % 3), 1.0] for i in range(30)]
+    got = {}
+    for r in hilbert.nearest(spark, table(spark, v), F.col("vec_id") % 20 == 0, how=hilbert.Curves(window=64, run=32)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert [i for _, i in sorted(got[300])] == list(range(20)) and [i for _, i in sorted(got[0])] == list(range(1, 21))
+    df = table(spark, [[1.0, 0.0], [0.5, 0.0], [0.4, 1.0]])
+    twice = [(r.query_id, r.vec_id) for r in hilbert.nearest(spark, df.unionByName(df), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert twice == [(0, 1), (0, 2)]
+
+
+def test_whole_number_scores_tie_by_id(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-1, 2, (900, 12)).astype(float)
+    v[~v.any(axis=1)] = 1
+    got = {}
+    for r in hilbert.nearest(spark, table(spark, v), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q, rows in got.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert [i for _, i in sorted(rows)] == np.lexsort((np.arange(900), -s))[:20].tolist()
