@@ -17,6 +17,7 @@ LABELS = {
     "RU": {"question": "Вопрос", "answer": "Ответ", "short": "Краткий ответ", "Yes": "Да", "No": "Нет", "excerpts": "{n} фрагментов (лучшие из {c} кандидатов)", "pages": "страницы", "understood": "Понято как", "grounding": "опирается на"},
 }
 
+# What is bold, code and italic in a line.
 _SPAN = re.compile(r"\*\*(?P<b>.+?)\*\*|`(?P<code>[^`]+)`|(?<![*\w])\*(?!\s)(?P<i>.+?)(?<!\s)\*(?![*\w])")
 
 
