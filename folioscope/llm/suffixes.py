@@ -257,6 +257,7 @@ def _repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
     same = ["fp1", "fp2", "n_words"]
     copies = long.select("doc_id", "th", *same).join(firsts, same).filter("doc_id <> first.doc_id OR th <> first.th")
     copies = copies.select("doc_id", "th", F.lit(0).cast("long").alias("start"), "n_words", F.col("first.doc_id").alias("source_id"), F.lit(True).alias("whole")).distinct()
+    copies = staged(spark, copies, "copies")
     one = firsts.select("first.doc_id", "first.th", *same)
     searched = long.filter(F.length("places") > 0).join(one, ["doc_id", "th", *same], "left_semi").dropDuplicates(["doc_id", "th"])
     sorted_ = staged(spark, _neighbours(spark, _spread(searched), near=True), "anchors")
@@ -268,7 +269,7 @@ def _repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
     windows_ = staged(spark, _neighbours(spark, _extended(docs, rest, length), near=False), "runs")
     repeated = matched.unionByName(_settled(windows_).select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"), "source"))
     spans = staged(spark, _spans(repeated, length), "spans")
-    drop_staged(spark, sorted_, windows_)
+    drop_staged(spark, sorted_, windows_, seqs, firsts)
     return spans.withColumn("whole", F.lit(False)).unionByName(copies)
 
 
