@@ -184,10 +184,10 @@ def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]
         at = end
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, first byte and end of each word, and where each row's words begin (one more at the end).
 
-    Bytes count from ``offsets[0]``.  ``lower``: A-Z count as a-z.  Equal words have equal hashes; a prefix sum of
+    Bytes count from ``offsets[0]``.  ``lower``: A-Z count as a-z.  ``breaks``: the bytes that stand between words.  Equal words have equal hashes; a prefix sum of
     random byte values times powers of an odd number makes them, so no word becomes a Python object.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -197,7 +197,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> t
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[b]
+    inside = ~breaks[b]
     first = np.zeros(n + 1, bool)
     first[rel] = True  # rows begin here; the last is past the end
     start = inside.copy()

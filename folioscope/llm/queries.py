@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hilbert, huffman, mixing, neardup, packing, quality, suffixes, tokens, toxicity, warc
+from . import chat, hilbert, huffman, interactions, mixing, neardup, packing, quality, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, huffman.write_ids(spark, _table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json")))
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_mixing_sources, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_rules, op7_warc_packages, op8_toxicity, op9_packing, op10_token_ids, pipeline,
+        op1_minhash_near_dedup, op2_mixing_sources, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_rules, op7_warc_packages, op8_toxicity, op9_packing, op10_token_ids, op12_filter_interactions, pipeline,
     )
 }
 
@@ -202,6 +206,34 @@ UNION ALL SELECT doc_id, 0, len(ws)::BIGINT, TRUE FROM f WHERE doc_id <> first
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
+""",
+    "op12_filter_interactions": rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, MAP {{
+    'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), FALSE)}} AS f
+  FROM t LEFT JOIN marks ON marks.doc_id = t.doc_id
+), counted AS (
+  SELECT part, good, toxic, f, count(*) AS n FROM fails GROUP BY ALL
+), l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s::INT AS step, substr(o, s, 1) AS own, string_split(substr(o, 1, s - 1), '') AS before FROM orders, range(1, 6) r(s)
+), judged AS (
+  SELECT part, o, step, own, n, good, toxic, f[own] AS here, len(list_filter(before, lambda b: coalesce(f[b], FALSE))) > 0 AS gone,
+    f[own] AND len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda b: f[b])) = 1 AS alone
+  FROM counted, steps
+), summed AS (
+  SELECT part, o AS filter_order, step, own, sum(CASE WHEN gone OR here THEN 0 ELSE n END)::BIGINT AS kept, sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN here AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN here AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN here AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed
 """,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
