@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hilbert, huffman, interactions, mixing, neardup, packing, quality, suffixes, tokens, toxicity, warc
+from . import bitslices, chat, hilbert, huffman, interactions, mixing, neardup, packing, quality, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.search(spark, bitslices.index(spark, _table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,10 +77,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_mixing_sources, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_rules, op7_warc_packages, op8_toxicity, op9_packing, op10_token_ids, op12_filter_interactions, pipeline,
+        op1_minhash_near_dedup, op2_mixing_sources, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_rules, op7_warc_packages, op8_toxicity, op9_packing, op10_token_ids, op12_filter_interactions, op13_bit_sliced_search, pipeline,
     )
 }
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
@@ -234,6 +239,28 @@ WITH t AS (
   FROM judged GROUP BY ALL
 )
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed
+""",
+    "op13_bit_sliced_search": rf"""
+WITH lower AS (
+  SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ts FROM documents
+  UNION ALL SELECT 'i', 0, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') FROM benchmark
+), docs AS (
+  SELECT rid, id, len(ts)::BIGINT AS n, ts FROM lower WHERE kind = 'd' AND len(ts) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs
+), asked AS (
+  SELECT id AS item_id, t, count(*)::BIGINT AS times FROM (SELECT id, unnest(ts) AS t FROM lower WHERE kind = 'i') GROUP BY ALL
+), held AS (
+  SELECT rid, id, n, t, count(*)::BIGINT AS tf FROM (SELECT rid, id, n, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY t
+), scored AS (
+  SELECT item_id, rid, id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM held JOIN weights USING (t) JOIN asked USING (t), totals GROUP BY ALL
+), ranked AS (
+  SELECT item_id, id AS doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id ASC NULLS LAST)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -20,7 +20,7 @@ def rows(table):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings", "labels"):
+    for t in ("documents", "pages", "conversations", "embeddings", "labels", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toArrow()) == rows(c.sql(ORACLE_SQL[name]).to_arrow_table())
 
