@@ -126,7 +126,8 @@ def audit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     bounded(spark)
     rows = staged(spark, failures(docs), "failures")
-    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # written, so that Spark can split the rows of one text, however many copies there are
+    copies = staged(spark, rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "copies")
     marks = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     repeats = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
     known = rows.join(marks, "doc_id", "left").join(copies, "digest", "left")
