@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslices, chat, hilbert, huffman, interactions, mixing, neardup, packing, quality, suffixes, tokens, toxicity, warc
+from . import bitslices, chat, hilbert, hmm, huffman, interactions, mixing, neardup, packing, quality, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, huffman.write_ids(spark, _table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json")))
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return hmm.scored(spark, _table(spark, sf_dir, "documents"), held_out)
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -77,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_mixing_sources, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_rules, op7_warc_packages, op8_toxicity, op9_packing, op10_token_ids, op12_filter_interactions, op13_bit_sliced_search, pipeline,
+        op1_minhash_near_dedup, op2_mixing_sources, op3_nearest_neighbours, op4_chat_formatting, op5_suffix_array_dedup, op6_quality_rules, op7_warc_packages, op8_toxicity, op9_packing, op10_token_ids, op11_hidden_markov, op12_filter_interactions, op13_bit_sliced_search, pipeline,
     )
 }
 
