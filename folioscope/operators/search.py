@@ -2,27 +2,24 @@
 
 Every result has an explicit ``rank`` from 1, and every order ends in ``guid``: no result depends on row order.
 Chunks: ``guid, owner, language, parent, text, embedding array<float or double>`` (what an operator doesn't use may be
-absent).  Queries: ``query_id, text`` and, for dense search, ``vector``.  Only vectors of a batch whose size is known are
+absent).  Queries: ``query_id, text`` and, for dense search, ``vector``.  Only batches of vectors whose size is known are
 sent to all tasks; all else is left to joins, whose strategy Spark chooses by size.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import lexemes as L
 from ..functions import text as T
+from . import dense
+from .dense import MAX_ROWS
 
-MAX_ROWS = 50  # no search returns more
 RRF_K = 60
-MAX_QUERIES = 10_000  # vectors of a batch that are sent to all tasks at once; terms that filter words before they move
+MAX_QUERIES = 10_000  # terms that filter words before they move
 
 
 def pool(n: int) -> int:
@@ -53,55 +50,13 @@ def top_per_query(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 5, owner=None, language: str | None = None) -> DataFrame:
-    """``query_id, guid, cosine_distance, rank``: the nearest chunks by cosine, exact.
+    """``query_id, guid, cosine_distance, rank``: the nearest chunks by cosine, exact; equal distances stand by ``guid``.
 
-    Chunks and queries without a vector, of another length or of length 0 take no part.  A batch of at most MAX_QUERIES
-    vectors goes to all tasks; they compare blocks of chunks with it as matrices and give each query's best of a block, so
-    nothing moves but ``k`` rows for each query and block.  A larger batch reads the chunks once for each MAX_QUERIES.
+    Chunks and queries without a sound vector, or of another length, take no part.  At most ``dense.SENT`` questions go to all
+    tasks; more are dealt to blocks of chunks by key (see :func:`folioscope.operators.dense.nearest`).
     """
-    c = scoped(chunks, owner, language).filter(F.col("embedding").isNotNull()).select("guid", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    rows = asked.toLocalIterator()
-    schema = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("guid", c.schema["guid"].dataType), StructField("cosine_distance", DoubleType()), StructField("rank", IntegerType())])
-    out = None
-    while part := [r for _, r in zip(range(MAX_QUERIES), rows, strict=False)]:
-        found = top_per_query(_compared(c, part, schema, min(k, MAX_ROWS)), k, F.col("cosine_distance"))
-        out = found if out is None else out.unionByName(found)
-    return chunks.sparkSession.createDataFrame([], schema) if out is None else out
-
-
-def _compared(chunks: DataFrame, queries: list, schema: StructType, k: int) -> DataFrame:
-    """Each block's ``k`` nearest of each query, and all that tie with the last."""
-    by_length: dict[int, list] = {}
-    for r in queries:
-        if any(r["vector"]):
-            by_length.setdefault(len(r["vector"]), []).append(r)
-    sent = {}
-    for d, rows in by_length.items():
-        q = np.array([r["vector"] for r in rows])
-        sent[d] = [r["query_id"] for r in rows], q / np.linalg.norm(q, axis=1, keepdims=True)
-    held = chunks.sparkSession.sparkContext.broadcast(sent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            for d, (ids, q) in held.value.items():
-                own = batch.filter(pa.array(sizes == d))
-                v = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                norm = np.linalg.norm(v, axis=1)
-                own, v = own.filter(pa.array(norm > 0)), v[norm > 0] / norm[norm > 0, None]
-                if not len(v):
-                    continue
-                distance = 1.0 - q @ v.T
-                distance[np.abs(distance) < 1e-15] = 0.0  # equal directions, but for the last bits
-                last = np.partition(distance, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
-                a, b = np.nonzero(distance <= last[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a.tolist()]).cast(kind), own.column(0).take(pa.array(b)), pa.array(distance[a, b])], names=["query_id", "guid", "cosine_distance"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(schema["query_id"].dataType)
-    return chunks.mapInArrow(run, StructType(schema.fields[:3]))
+    cell = F.lit(0).alias("cell")
+    return dense.nearest(scoped(chunks, owner, language).select(cell, "guid", "embedding"), queries.select(cell, "query_id", "vector"), min(k, MAX_ROWS))
 
 
 def dense_search_one(chunks: DataFrame, vector: list[float], k: int = 5, owner=None, language: str | None = None) -> DataFrame:

@@ -61,6 +61,9 @@ SQL: dict[str, str] = {
     "dense_topk": f"SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, rank FROM ({_dense('vec_id = 0')})",
     "dense_topk_owner": f"SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, rank FROM ({_dense('vec_id = 0', 'c.label = 3')})",
     "dense_topk_batch": f"SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, rank FROM ({_dense('vec_id % 50 = 0')})",
+    "dense_index": f"SELECT query_id, guid, round(cosine_distance, 9) AS cosine_distance, rank FROM ({_dense('vec_id % 50 = 0', 'c.label = 3')})",
+    "dense_index_recall": f"""SELECT (SELECT count(*) FROM ({_dense('vec_id % 50 = 0')})) AS wanted, TRUE AS found_nine_of_ten,
+  (SELECT min(n) FROM (SELECT query_id, count(*) AS n FROM ({_dense('vec_id % 50 = 0', 'c.label = 3')}) GROUP BY query_id)) AS fewest_of_owner""",
     "keyword_topk": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20)}",
     "keyword_index": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20, "(SELECT * FROM documents WHERE lang = 'en')")}",
     "inverted_index": f"SELECT term, count(DISTINCT guid) AS documents, sum(tf)::BIGINT AS occurrences FROM {_postings()} GROUP BY term",

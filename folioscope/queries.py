@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, unicode
 from .functions import text as T
-from .operators import chunking, layout, search, structure, sync
+from .operators import chunking, dense, layout, search, structure, sync
 from .plans import catalog
 from .sources.pages import html_headings
 
@@ -78,6 +78,24 @@ def dense_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return search.dense_search(v, q, 20).select("query_id", "guid", _nine("cosine_distance"), "rank")
 
 
+@query
+def dense_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same questions on an index of inverted lists, all lists of one owner asked: exact."""
+    v, q = _batch(spark, d)
+    return dense.index_search(spark, dense.new_index(v), q, 20, owner=3, exact=True).select("query_id", "guid", _nine("cosine_distance"), "rank")
+
+
+@query
+def dense_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How much of exact search's results the index finds by default, and how many rows each question gets of one owner."""
+    v, q = _batch(spark, d)
+    folder = dense.new_index(v)
+    exact, found = (x.select("query_id", "guid") for x in (search.dense_search(v, q, 20), dense.index_search(spark, folder, q, 20)))
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "guid"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+    own = dense.index_search(spark, folder, q, 20, owner=3).groupBy("query_id").agg(F.count(F.lit(1)).alias("of_owner"))
+    return hits.join(own, "query_id").agg(F.sum("wanted").alias("wanted"), (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("found_nine_of_ten"), F.min("of_owner").alias("fewest_of_owner"))
+
+
 @query
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documents by matching words, for all benchmark questions at once."""
