@@ -37,6 +37,48 @@ def _keyword(k: int, of: str = "documents") -> str:
   FROM (SELECT query_id, guid, sum(tf) AS n FROM {_postings(of)} p JOIN {_TERMS} t USING (term) GROUP BY ALL)) WHERE rank <= {k})"""
 
 
+def _phrases() -> str:
+    """Phrases, required and excluded words by joins; covers by a self-join over ends."""
+    at = lambda i: f"coalesce(w[{i + 1}], '')"
+    text = f"""'"' || {at(0)} || ' ' || {at(1)} || '" ' || {at(3)} || ' -' || {at(8)} || ' or ' || {at(4)} || ' ' || {at(5)} || ' OR ' || {at(2)} || ' "' || {at(6)} || ' ' || {at(7)} || '"'"""
+    words = r"""list_filter(regexp_split_to_array(replace(text, '"', ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '')"""
+    return f"""WITH q AS (
+  SELECT query_id, {text} AS text FROM (SELECT item_id AS query_id, {words} AS w FROM benchmark)
+), items AS (
+  SELECT query_id, unnest(xs) AS raw, generate_subscripts(xs, 1) - 1 AS item FROM (SELECT query_id, regexp_extract_all(text, '-?"[^"]*"|[^ \\t\\n\\x0b\\x0c\\r"]+') AS xs FROM q)
+), grouped AS (
+  SELECT *, sum(CASE WHEN lower(raw) = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY item) AS grp FROM items
+), parts AS (
+  SELECT query_id, grp, item, raw LIKE '-%' AS negated, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS off
+  FROM (SELECT *, regexp_extract_all(lower(raw), '{L.TOKEN}') AS ts FROM grouped WHERE lower(raw) <> 'or')
+), asked AS (
+  SELECT query_id, grp, item, negated, off, term, count(*) OVER (PARTITION BY query_id, item) AS n FROM ({L.stemmed_sql(f"SELECT * FROM parts WHERE word NOT IN ({_STOP})")})
+), places AS (
+  SELECT * FROM (SELECT guid, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id AS guid, regexp_extract_all(lower(text), '{L.TOKEN}') AS ts FROM documents)) WHERE word NOT IN ({_STOP})
+), hits AS (
+  SELECT DISTINCT query_id, guid, grp, item, negated, off, n, pos FROM places JOIN ({L.stemmed_sql("SELECT DISTINCT word FROM places")}) USING (word) JOIN asked USING (term)
+), found AS (
+  SELECT query_id, guid, grp, item, negated, min(pos) AS s, max(pos) AS e FROM hits GROUP BY query_id, guid, grp, item, negated, n, pos - off HAVING count(*) = n
+), wanted AS (
+  SELECT query_id, grp, count(DISTINCT item) FILTER (WHERE NOT negated) AS items FROM asked GROUP BY ALL
+), matched AS (
+  SELECT query_id, guid, grp, items FROM (SELECT query_id, guid, grp, count(DISTINCT item) FILTER (WHERE NOT negated) AS met, bool_or(negated) AS spoilt FROM found GROUP BY ALL) JOIN wanted USING (query_id, grp) WHERE NOT spoilt AND met = items
+), held AS (
+  SELECT query_id, guid, grp, item, items, s, e FROM found JOIN matched USING (query_id, guid, grp) WHERE NOT negated
+), lasts AS (
+  SELECT x.query_id, x.guid, x.grp, x.items, x.e, y.item, max(y.s) AS last
+  FROM (SELECT DISTINCT query_id, guid, grp, items, e FROM held) x JOIN held y ON x.query_id = y.query_id AND x.guid = y.guid AND x.grp = y.grp AND y.e <= x.e GROUP BY ALL
+), whole AS (
+  SELECT query_id, guid, e, max(s) AS s FROM (SELECT query_id, guid, grp, items, e, min(last) AS s FROM lasts GROUP BY ALL HAVING count(*) = items) GROUP BY ALL
+), covers AS (
+  SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY query_id, guid ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM whole) WHERE known IS NULL OR s > known
+), weighed AS (
+  SELECT c.query_id, c.guid, 0.1::DOUBLE / (1 + c.e - c.s - (count(DISTINCT h.pos) - 1)) AS cover FROM covers c JOIN hits h ON h.query_id = c.query_id AND h.guid = c.guid AND h.pos BETWEEN c.s AND c.e GROUP BY c.query_id, c.guid, c.s, c.e
+)
+SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(text_rank, 12) DESC, guid)::INT AS rank FROM (SELECT query_id, guid, sum(cover ORDER BY cover) AS text_rank FROM weighed GROUP BY ALL)) WHERE rank <= 20"""
+
+
 _CLASS = "[^ \\t\\n\\x0b\\x0c\\r]+"
 _UUID = lambda name: f"""(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(h, 17, 1))::INT + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)
   FROM (SELECT sha1(unhex('{NAMESPACE.replace("-", "")}') || encode({name})) AS h))"""
@@ -66,6 +108,8 @@ SQL: dict[str, str] = {
   (SELECT min(n) FROM (SELECT query_id, count(*) AS n FROM ({_dense('vec_id % 50 = 0', 'c.label = 3')}) GROUP BY query_id)) AS fewest_of_owner""",
     "keyword_topk": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20)}",
     "keyword_index": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20, "(SELECT * FROM documents WHERE lang = 'en')")}",
+    "keyword_stored": f"SELECT query_id, guid, round(text_rank, 9) AS text_rank, rank FROM {_keyword(20)}",
+    "keyword_phrases": _phrases(),
     "inverted_index": f"SELECT term, count(DISTINCT guid) AS documents, sum(tf)::BIGINT AS occurrences FROM {_postings()} GROUP BY term",
     "rrf_hybrid": f"""WITH lists AS (
   SELECT query_id, guid, rank, 0 AS list FROM ({_dense('vec_id IN (SELECT item_id FROM benchmark)', 'c.vec_id IN (SELECT doc_id FROM documents)')}) UNION ALL SELECT query_id, guid, rank, 1 FROM {_keyword(20)}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, unicode
 from .functions import text as T
-from .operators import chunking, dense, layout, search, structure, sync
+from .operators import chunking, dense, keywords, layout, search, structure, sync
 from .plans import catalog
 from .sources.pages import html_headings
 
@@ -115,6 +115,23 @@ def keyword_index(spark: SparkSession, d: str) -> DataFrame:
     return search.keyword_search(None, _terms(spark, d), 20, language="en", index=index).select("query_id", "guid", _nine("text_rank"), "rank")
 
 
+@query
+def keyword_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same search on stored postings by blocks, most of which are skipped."""
+    folder = keywords.new_postings(_documents(spark, d))
+    return keywords.stored_search(spark, folder, _terms(spark, d), 20).select("query_id", "guid", _nine("text_rank"), "rank")
+
+
+@query
+def keyword_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark text's words as a phrase, a required word, an excluded one, and two alternatives."""
+    w = F.filter(F.split(F.replace("text", F.lit('"'), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
+    at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+    text = F.concat(F.lit('"'), at(0), F.lit(" "), at(1), F.lit('" '), at(3), F.lit(" -"), at(8), F.lit(" or "), at(4), F.lit(" "), at(5), F.lit(" OR "), at(2), F.lit(' "'), at(6), F.lit(" "), at(7), F.lit('"'))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+    return keywords.phrase_search(_documents(spark, d), q, 20).select("query_id", "guid", _nine("text_rank"), "rank")
+
+
 @query
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search: the vector of a question's number stands for its embedding; documents without a vector are found by words alone."""
