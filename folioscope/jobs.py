@@ -14,65 +14,116 @@ from pyspark.sql import functions as F
 
 from .operators import answer, chunking, structure, sync
 from .plans import providers as P
-from .plans.session import session
+from .plans.session import session, written
 from .sources import pages as S
+from .sources import snapshots as N
 
-CHUNKS = "guid string, owner string, parent string, ord int, source_key string, language string, page_number int, text string, embedding array<double>"
+CHUNKS = "guid string, owner string, parent string, ord int, source_key string, language string, page_number int, text string, page_digest string, embedding array<double>"
+LOT = 200  # pages that a recognition job commits at once
 
 
 def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The current snapshot, or an empty table before the first."""
     try:
-        return S.current_snapshot(spark, folder)
+        return N.current(spark, folder)
     except LookupError:
         return spark.createDataFrame([], schema)
 
 
-def build_chunks(spark: SparkSession, pages: str, chunks: str, provider: str = "offline", budget: int = chunking.BUDGET) -> str:
-    """Chunks and embeddings of all stored pages, in place of the ones they had."""
-    new = chunking.chunk_embed_replace(S.current_snapshot(spark, pages), stored(spark, chunks, CHUNKS), P.providers(provider).embedder, budget)
-    return S.swap_snapshot(spark, new, chunks)
+def build_chunks(spark: SparkSession, pages: str, chunks: str, provider: str = "offline", budget: int = chunking.BUDGET, tokenizer: str | None = None) -> dict[str, int]:
+    """Chunks and embeddings of the stored pages that have none or have changed; chunks of pages that went go.
+
+    ``tokenizer``: the file of a public tokenizer, to count tokens with; None: words.  A second run embeds nothing.
+    """
+    old, now = stored(spark, chunks, CHUNKS), N.current(spark, pages)
+    own = now.select(F.col("guid").alias("parent"), F.col("digest").alias("page_digest"))
+    todo = now.join(old.select(F.col("parent").alias("guid"), F.col("page_digest").alias("digest")).distinct(), ["guid", "digest"], "left_anti")
+    rows = chunking.chunk_rows(todo, budget, count=chunking.bpe_tokens(tokenizer) if tokenizer else None).join(own, "parent")
+    new = written(P.embed_column(rows, P.providers(provider).embedder).select(*old.columns), "chunks")
+    gone = written(old.join(own, ["parent", "page_digest"], "left_anti").select("guid", "parent"), "gone")
+    N.merge(spark, chunks, new, gone)
+    return {"chunks": new.count(), "removed": gone.join(new, "guid", "left_anti").count()}
+
+
+def upload(spark: SparkSession, folder: str, pages: str, sources: str, chunks: str | None = None) -> dict[str, int]:
+    """Stored pages and sources made equal to the page documents on disk, and ``chunks`` rid of those of pages that went; gives the number of rows by action.
+
+    Digests stand on three levels.  A source whose files have the sizes and times they had isn't read; a page whose texts are
+    the same isn't written; ``blocks`` counts the blocks of updated pages that differ.
+    """
+    found = written(S.source_stamps(S.page_files(spark, folder)), "sources")
+    known = stored(spark, sources, "guid string, owner string, source_key string, language string, title string, recognised_pages long, first_page int, files long, stamp long")
+    key = ["source_key", "language"]
+    changed = found.join(known.select(*key, "files", "stamp"), [*key, "files", "stamp"], "left_anti")
+    lost = written(known.join(found, key, "left_anti").select("guid"), "lost")
+    # the names of sources that have changed go to the driver: their folders are what is read
+    docs = S.read_page_json(spark, folder, [(r["language"], r["source_key"]) for r in changed.select(*key).collect()])
+    new = written(S.page_rows(docs), "pages")
+    old = stored(spark, pages, _ddl(new))
+    touched = old.join(new.select("owner").unionByName(lost.select(F.col("guid").alias("owner"))).distinct(), "owner", "left_semi")
+    todo = written(sync.actions(touched, new, "guid", "digest"), "actions")
+    gone = todo.filter("action = 'delete'").select("guid")
+    done = {r["action"]: r["count"] for r in todo.groupBy("action").count().collect()}
+    both = new.select("guid", "block_digests").join(old.select("guid", F.col("block_digests").alias("was")), "guid").join(todo.filter("action = 'update'"), "guid")
+    if blocks := both.agg(F.sum(F.size(F.array_except("block_digests", F.coalesce("was", F.array().cast("array<string>")))))).first()[0]:
+        done["blocks"] = blocks
+    if chunks is not None:
+        stale = written(stored(spark, chunks, CHUNKS).join(gone.select(F.col("guid").alias("parent")), "parent").select("guid"), "stale")
+        N.merge(spark, chunks, gone=stale)
+        if n := stale.count():
+            done["chunks"] = n
+    N.merge(spark, pages, new.join(todo.filter("action <> 'delete'").select("guid"), "guid", "left_semi"), gone)
+    # sources come last: a job that failed before finds the same sources to do
+    N.merge(spark, sources, S.source_rows(docs).join(found, key), lost)
+    return done
 
 
-def upload(spark: SparkSession, folder: str, pages: str, sources: str) -> dict[str, int]:
-    """Stored pages and sources made equal to the page documents on disk; gives the number of rows by action."""
-    docs = S.read_page_json(spark, folder)
-    new = S.page_rows(docs)
-    old = stored(spark, pages, new.schema.simpleString().removeprefix("struct<").removesuffix(">"))
-    digest = lambda df: df.select("guid", F.md5(F.concat_ws("\n", "text", F.to_json("blocks"))).alias("digest"))
-    done = {r["action"]: r["count"] for r in sync.actions(digest(old), digest(new), "guid", "digest").groupBy("action").count().collect()}
-    S.swap_snapshot(spark, new, pages)
-    S.swap_snapshot(spark, S.source_rows(docs), sources)
+def _ddl(df: DataFrame) -> str:
+    return df.schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+
+def recognise(spark: SparkSession, images: DataFrame, recogniser: P.Recogniser, folder: str, start: int = 1, end: int | None = None, force: bool = False, attempts: int = 4) -> dict[str, int]:
+    """Pages of a window that have no document yet are recognised, built and written as page documents. ``images``: ``source_key, language, page, content``.
+
+    Pages are committed in lots of about LOT: each page has a folder of its own, which a page that is done again replaces, and
+    then a row of the manifest.  A run that is repeated asks for what is missing alone.  A page that fails is written nowhere and
+    counted; the others stay.
+    """
+    key = ["source_key", "language", "page"]
+    wanted = images.select(*key[:2], F.col("page").cast("int").alias("page"), "content")
+    wanted = wanted.filter(F.col("page") >= start) if end is None else wanted.filter(F.col("page").between(start, end))
+    manifest = f"{folder}/manifest"
+    if not force and S.there(spark, manifest):
+        wanted = wanted.join(spark.read.schema(MANIFEST).parquet(manifest).select(*key).distinct(), key, "left_anti")
+    lots = -(-wanted.count() // LOT)
+    done = {"recognised": 0, "failed": 0}
+    for lot in range(lots):
+        part = wanted.filter(F.pmod(F.xxhash64(*key), F.lit(lots)) == lot)
+        got = written(P.recognise_pages(part, recogniser, attempts=attempts, keep_errors=True), "recognised")  # models are asked once
+        good = structure.build_blocks(got.filter("error IS NULL").drop("error"))
+        S.write_page_json(good, folder)
+        rows = got.filter("error IS NULL").select(*key, F.current_timestamp().alias("at"))
+        rows.write.mode("append").parquet(manifest)
+        n, failed = got.agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
+        done = {"recognised": done["recognised"] + n, "failed": done["failed"] + failed}
     return done
 
 
-def recognise(spark: SparkSession, images: DataFrame, recogniser: P.Recogniser, folder: str, start: int = 1, end: int | None = None, force: bool = False) -> DataFrame:
-    """Pages of a window that have no document yet are recognised, built and written. ``images``: ``source_key, language, page, content``."""
-    wanted = images.filter(F.col("page") >= start) if end is None else images.filter(F.col("page").between(start, end))
-    try:
-        done = S.read_page_json(spark, folder).select("source_key", "language", "page")
-    except Exception as e:  # noqa: BLE001  nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = spark.createDataFrame([], "source_key string, language string, page int")
-    todo = wanted if force else wanted.join(done, ["source_key", "language", "page"], "left_anti")
-    built = structure.build_blocks(P.recognise_pages(todo, recogniser))
-    built.select("source_key", "language", "page", "blocks").write.mode("append").parquet(f"{folder}/recognised")
-    return spark.read.parquet(f"{folder}/recognised")
+MANIFEST = "source_key string, language string, page int, at timestamp"
 
 
 def translate(spark: SparkSession, units: DataFrame, cache: str, call: Callable) -> DataFrame:
     """Units (``id, text``) with translations, from the cache where it has them; the cache then has all."""
     known = stored(spark, cache, "id string, translated string")
-    out = P.translate_missing(units, known, call)
-    S.swap_snapshot(spark, sync.upsert(known, out.filter("translated IS NOT NULL").select("id", "translated"), "id"), cache)
-    return units.join(S.current_snapshot(spark, cache), "id", "left")
+    out = written(P.translate_missing(units, known, call).filter("translated IS NOT NULL").select("id", "translated"), "translated")
+    N.merge(spark, cache, out.join(known, ["id", "translated"], "left_anti"), key="id")
+    return units.join(stored(spark, cache, "id string, translated string"), "id", "left")
 
 
 def ask(spark: SparkSession, pages: str, chunks: str, question: str, provider: str = "offline", **flags) -> dict:
     """One question's reply."""
-    p = S.current_snapshot(spark, pages)
-    corpus = answer.Corpus(S.current_snapshot(spark, chunks).withColumn("page", F.col("page_number")), p.select("guid", "text"))
+    p = N.current(spark, pages)
+    corpus = answer.Corpus(N.current(spark, chunks).withColumn("page", F.col("page_number")), p.select("guid", "text"))
     return answer.ask(spark, corpus, question, P.providers(provider), answer.Flags(**flags)).reply()
 
 

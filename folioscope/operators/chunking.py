@@ -85,10 +85,14 @@ def chunks_of(text: Column, blocks: Column, budget: int = BUDGET, tokens=whitesp
     return F.when(tokens(text) <= budget, F.array(text)).when(F.size(packed) > 0, packed).otherwise(empty)
 
 
-def chunk_rows(pages: DataFrame, budget: int = BUDGET, tokens=whitespace_tokens) -> DataFrame:
-    """``guid, owner, source_key, language, page_number, text, blocks`` to a row for each chunk, with ids that follow from the page's. Blank pages have none."""
+def chunk_rows(pages: DataFrame, budget: int = BUDGET, tokens=whitespace_tokens, count=None) -> DataFrame:
+    """``guid, owner, source_key, language, page_number, text, blocks`` to a row for each chunk, with ids that follow from the page's. Blank pages have none.
+
+    ``count``: an Arrow function that counts tokens, as :func:`bpe_tokens` gives it, in place of the expression ``tokens``.
+    """
     own = pages.filter(F.col("text").rlike("(?U)\\S"))
-    each = own.select("guid", "owner", "source_key", "language", "page_number", F.posexplode(chunks_of(F.col("text"), F.col("blocks"), budget, tokens)).alias("ord", "chunk_text"))
+    own = counted_chunks(own, budget, count) if count else own.withColumn("chunks", chunks_of(F.col("text"), F.col("blocks"), budget, tokens))
+    each = own.select("guid", "owner", "source_key", "language", "page_number", F.posexplode("chunks").alias("ord", "chunk_text"))
     return each.select(ids.chunk_id(F.col("guid"), F.col("ord")).alias("guid"), "owner", F.col("guid").alias("parent"), "ord", "source_key", "language", "page_number", F.col("chunk_text").alias("text"))
 
 

@@ -211,10 +211,11 @@ def read_pages(files: DataFrame, reader: Ocr, dpi: int = 150, psm: int = 6) -> D
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
 
 
-def recognise_pages(images: DataFrame, recogniser: Recogniser, prompt: str = prompts.RECOGNISE, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def recognise_pages(images: DataFrame, recogniser: Recogniser, prompt: str = prompts.RECOGNISE, attempts: int = 4, sleep: Callable[[float], None] = time.sleep, keep_errors: bool = False) -> DataFrame:
     """``source_key, language, page, content`` to the same with ``blocks``, as the blocks' builder takes them.
 
-    A reply without blocks is an error and asked for again; the last error is raised, and the task with it.
+    A reply without blocks is an error and asked for again; the last error is raised, and the task with it.  ``keep_errors``:
+    it stands in a column ``error`` instead, which is null for pages that were recognised.
     """
 
     def one(image: bytes) -> str:
@@ -223,9 +224,19 @@ def recognise_pages(images: DataFrame, recogniser: Recogniser, prompt: str = pro
             raise ValueError("a page without blocks")
         return json.dumps(got["blocks"])
 
+    def kept(image: bytes) -> tuple[str | None, str | None]:
+        try:
+            return with_retry(lambda: one(image), attempts, sleep=sleep), None
+        except Exception as e:  # noqa: BLE001  whatever a model may raise
+            if not keep_errors:
+                raise
+            return None, f"{type(e).__name__}: {e}"[:300]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[["source_key", "language", "page"]].assign(blocks=[with_retry(lambda c=c: one(bytes(c)), attempts, sleep=sleep) for c in f["content"]])
+            got = [kept(bytes(c)) for c in f["content"]]
+            yield f[["source_key", "language", "page"]].assign(blocks=[b for b, _ in got], error=[e for _, e in got])
 
-    found = images.select("source_key", "language", F.col("page").cast("int").alias("page"), "content").mapInPandas(run, "source_key string, language string, page int, blocks string")
-    return found.withColumn("blocks", F.from_json("blocks", prompts.PAGE_BLOCKS))
+    found = images.select("source_key", "language", F.col("page").cast("int").alias("page"), "content").mapInPandas(run, "source_key string, language string, page int, blocks string, error string")
+    found = found.withColumn("blocks", F.from_json("blocks", prompts.PAGE_BLOCKS))
+    return found if keep_errors else found.drop("error")

@@ -21,20 +21,58 @@ BLOCK = (
 PAGE = f"schema_version int, page int, printed_page_number string, image string, lang string, source_key string, model string, blocks array<{BLOCK}>"
 
 
-def read_page_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Page documents under ``<language>/<source key>/json/page_*.json``; the path says language and source."""
-    raw = spark.read.schema(PAGE).json(f"{folder}/*/*/json/page_*.json", multiLine=True)
-    path = F.col("_metadata.file_path")
-    part = lambda k: F.regexp_extract(path, "([^/]+)/([^/]+)/json/[^/]+$", k)
-    return raw.withColumn("language", part(1)).withColumn("source_key", part(2))
+#: Where page documents are: one file each, ``<language>/<source key>/json/page_*.json``; or one folder each, as :func:`write_page_json` makes them.
+FILES, FOLDERS = "*/*/json/page_*.json", "language=*/source_key=*/page=*"
+
+
+def there(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or any of a pattern's, is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def page_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``language, source_key, path, stamp`` of all page documents, from listings alone: ``stamp`` changes with a file's size and time."""
+    found = None
+    for pattern, names in ((FILES, "([^/]+)/([^/]+)/json/[^/]+$"), (FOLDERS, "language=([^/]+)/source_key=([^/]+)/page=[^/]+/[^/]+$")):
+        if there(spark, f"{folder}/{pattern}"):
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/{pattern}")
+            part = lambda k, names=names: F.url_decode(F.regexp_extract("path", names, k))
+            rows = files.select(part(1).alias("language"), part(2).alias("source_key"), "path", F.xxhash64("path", "length", F.col("modificationTime").cast("double")).alias("stamp"))
+            found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], "language string, source_key string, path string, stamp long") if found is None else found
+
+
+def source_stamps(files: DataFrame) -> DataFrame:
+    """``language, source_key, files, stamp`` of each source, whatever the order of its files."""
+    return files.groupBy("language", "source_key").agg(F.count(F.lit(1)).alias("files"), F.expr("bit_xor(stamp)").alias("stamp"))
+
+
+def read_page_json(spark: SparkSession, folder: str, only: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Page documents of both layouts; the path says language and source. ``only``: (language, source key) of the sources to read."""
+    schema = PAGE.replace(" source_key string,", "") + ", language string, source_key string"
+    names = [f.split(":")[0] for f in spark.createDataFrame([], schema).schema.names]
+    found = spark.createDataFrame([], schema)
+    sources = [("*", "*")] if only is None else only
+    paths = [p for x, y in sources if there(spark, p := f"{folder}/{x}/{y}/json/page_*.json")]
+    if paths:
+        raw = spark.read.schema(PAGE).json(paths, multiLine=True)
+        part = lambda k: F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/([^/]+)/json/[^/]+$", k))
+        found = raw.withColumn("language", part(1)).withColumn("source_key", part(2)).select(*names)
+    made = [p for x, y in sources if there(spark, p := f"{folder}/language={x}/source_key={y}")]
+    if made:
+        found = found.unionByName(spark.read.schema(schema).option("basePath", folder).json(made).select(*names))
+    return found
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Rows to store: ids from source, language and page; the page's text is its blocks' texts, empty ones left out."""
+    """Rows to store: ids from source, language and page; the page's text is its blocks' texts, empty ones left out; digests of blocks and of the page."""
     text = F.array_join(F.filter(F.transform("blocks", lambda b: b["text"]), lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
     owner = ids.source_id(F.col("source_key"), F.col("language"))
     blocks = F.transform(F.array_sort("blocks", lambda a, b: F.when(a["reading_order"] < b["reading_order"], -1).when(a["reading_order"] > b["reading_order"], 1).otherwise(0)), lambda b: b["text"])
-    return pages.select(ids.page_id(F.col("source_key"), F.col("language"), F.col("page")).alias("guid"), owner.alias("owner"), "source_key", "language", F.col("page").alias("page_number"), text.alias("text"), blocks.alias("blocks"))
+    rows = pages.select(ids.page_id(F.col("source_key"), F.col("language"), F.col("page")).alias("guid"), owner.alias("owner"), "source_key", "language", F.col("page").alias("page_number"), text.alias("text"), blocks.alias("blocks"))
+    return rows.withColumn("block_digests", F.transform("blocks", lambda b: F.md5(F.coalesce(b, F.lit(""))))).withColumn("digest", F.md5(F.concat_ws(" ", F.md5(F.coalesce("text", F.lit(""))), "block_digests")))
 
 
 def source_rows(pages: DataFrame) -> DataFrame:
@@ -44,13 +82,11 @@ def source_rows(pages: DataFrame) -> DataFrame:
     return g.select(guid.alias("guid"), guid.alias("owner"), "source_key", "language", F.replace("source_key", F.lit("_"), F.lit(" ")).alias("title"), "recognised_pages", "first_page")
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """One folder for each language and source, so that readers of one read no other."""
-    pages.write.mode("overwrite").partitionBy("language", "source_key").parquet(folder)
-
-
 def write_page_json(pages: DataFrame, folder: str) -> None:
-    pages.write.mode("overwrite").partitionBy("language", "source_key").json(folder)
+    """A folder for each page, ``language=.../source_key=.../page=...``: pages that are written again take their folders' place, others stay."""
+    names = [n for n in pages.sparkSession.createDataFrame([], PAGE).schema.names if n in pages.columns and n not in ("page", "source_key")]
+    out = pages.select(*names, "language", "source_key", F.col("page").cast("int").alias("page"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language", "source_key", "page").json(folder)
 
 
 def swap_snapshot(spark: SparkSession, df: DataFrame, folder: str) -> str:

@@ -11,6 +11,7 @@ from folioscope.operators.answer import Corpus, Flags
 from folioscope.plans import catalog, providers
 from folioscope.plans.config import Settings, last_page
 from folioscope.sources import pages as P
+from folioscope.sources import snapshots
 
 
 @pytest.fixture(scope="module")
@@ -148,7 +149,12 @@ def test_page_json_to_rows_and_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         q = ingest(spark, str(tmp_path / "in"), str(tmp_path / "chunks"), str(tmp_path / "cp"))
         q.awaitTermination(60)
-        assert spark.read.parquet(str(tmp_path / "chunks")).count() == 2
+        assert snapshots.current(spark, str(tmp_path / "chunks")).count() == 2
+    # a page that comes again in a later epoch takes its chunks' place
+    P.write_page_json(docs.filter("page = 1").withColumn("blocks", F.transform("blocks", lambda b: b.withField("text", F.lit("neuf")))), str(tmp_path / "in"))
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "chunks"), str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(r.text for r in snapshots.current(spark, str(tmp_path / "chunks")).collect()) == ["neuf\nneuf\nneuf", "quatre"]
+    assert sorted((r.language, r.source_key, r.page, len(r.blocks)) for r in P.read_page_json(spark, str(tmp_path / "in")).collect()) == [("fr", "livre", 1, 3), ("fr", "livre", 2, 1)]
 
 
 def test_files_and_cache(spark, tmp_path):

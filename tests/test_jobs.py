@@ -1,6 +1,7 @@
 """Jobs from page documents to answers, recognition behind providers, one book's questions, and how answers are shown."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from folioscope.operators import answer, book, chunking
 from folioscope.plans import prompts
 from folioscope.plans import providers as P
 from folioscope.sources import pages as S
+from folioscope.sources import snapshots as N
 
 PAGES = {1: "Protein builds muscle.", 2: "Fat stores energy.", 3: "Water is essential."}
 
@@ -27,17 +29,65 @@ def write_documents(folder, pages):
 def test_from_documents_to_answers(spark, tmp_path):
     docs, p, c, s = (str(tmp_path / x) for x in ("docs", "pages", "chunks", "sources"))
     write_documents(tmp_path / "docs", PAGES)
-    assert jobs.upload(spark, docs, p, s) == {"insert": 3}
+    assert jobs.upload(spark, docs, p, s, c) == {"insert": 3} and jobs.upload(spark, docs, p, s, c) == {}
+    assert jobs.build_chunks(spark, p, c) == {"chunks": 3, "removed": 0}
+    before = {t: N.numbers(spark, t) for t in (p, c, s)}
+    assert jobs.upload(spark, docs, p, s, c) == {} and jobs.build_chunks(spark, p, c) == {"chunks": 0, "removed": 0}
+    assert before == {t: N.numbers(spark, t) for t in (p, c, s)}  # nothing was written
     write_documents(tmp_path / "docs", {1: PAGES[1], 3: "Water is life."})
-    assert jobs.upload(spark, docs, p, s) == {"delete": 1, "update": 1} and S.current_snapshot(spark, s).first().recognised_pages == 2
-    jobs.build_chunks(spark, p, c)
-    again = jobs.build_chunks(spark, p, c)
-    rows = S.current_snapshot(spark, c)
-    assert rows.count() == 2 and again and {r.text for r in rows.collect()} == {PAGES[1], "Water is life."}
+    assert jobs.upload(spark, docs, p, s, c) == {"delete": 1, "update": 1, "blocks": 1, "chunks": 1} and N.current(spark, s).first().recognised_pages == 2
+    assert {r.page_number for r in N.current(spark, c).collect()} == {1, 3}  # chunks of the page that went are gone
+    assert jobs.build_chunks(spark, p, c) == {"chunks": 1, "removed": 0}
+    assert {r.text for r in N.current(spark, c).collect()} == {PAGES[1], "Water is life."}
     got = jobs.ask(spark, p, c, "protein and muscle?", hybrid=True, n=1)
     assert got["source_pages"] == [1] and got["chunks_used"] == 1 and got["candidates_considered"] == 1 and len(got) == 17
 
 
+def test_sources_that_went_and_sources_that_stay(spark, tmp_path):
+    docs, p, c, s = (str(tmp_path / x) for x in ("docs", "pages", "chunks", "sources"))
+    write_documents(tmp_path / "docs", PAGES)
+    other = tmp_path / "docs" / "fr" / "pain" / "json"
+    other.mkdir(parents=True)
+    (other / "page_0001.json").write_text(json.dumps({"page": 1, "blocks": [{"id": "b", "reading_order": 1, "text": "Le pain"}]}))
+    assert jobs.upload(spark, docs, p, s) == {"insert": 4}
+    jobs.build_chunks(spark, p, c)
+    read = []
+    whole = S.read_page_json
+    S.read_page_json = lambda spark, folder, only=None: read.append(only) or whole(spark, folder, only)
+    try:
+        (other / "page_0001.json").write_text(json.dumps({"page": 1, "blocks": [{"id": "b", "reading_order": 1, "text": "Le pain frais"}]}))
+        assert jobs.upload(spark, docs, p, s, c) == {"update": 1, "blocks": 1} and read == [[("fr", "pain")]]  # the other source isn't read
+        shutil.rmtree(tmp_path / "docs" / "en")
+        assert jobs.upload(spark, docs, p, s, c) == {"delete": 3, "chunks": 3} and read[1] == []
+    finally:
+        S.read_page_json = whole
+    assert [r.text for r in N.current(spark, p).collect()] == ["Le pain frais"] and [r.source_key for r in N.current(spark, s).collect()] == ["pain"]
+    assert jobs.build_chunks(spark, p, c) == {"chunks": 1, "removed": 0} and [r.text for r in N.current(spark, c).collect()] == ["Le pain frais"]
+    shutil.rmtree(tmp_path / "docs")
+    assert jobs.upload(spark, docs, p, s, c) == {"delete": 1, "chunks": 1} and N.current(spark, s).isEmpty()
+
+
+def test_buckets_that_arent_touched_are_shared(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    with pytest.raises(LookupError):
+        N.current(spark, folder)
+    rows = spark.range(100).selectExpr("id AS guid", "'a' AS v")
+    assert N.merge(spark, folder, rows, buckets=16) == 1
+    one = spark.createDataFrame([(7, "b"), (7, "c")], "guid long, v string")
+    assert N.merge(spark, folder, one) == 2 and N.merge(spark, folder, rows.limit(0)) is None
+    first, second = (N.manifest(spark, folder, n)["buckets"] for n in (1, 2))
+    assert sum(first[b] != second[b] for b in first) == 1 and len(first) == 16
+    old, now = N.current(spark, folder, 1), N.current(spark, folder)
+    assert now.count() == 100 and now.filter("v <> 'a'").collect() == [(7, "c")] and old.filter("v <> 'a'").isEmpty()
+    assert N.merge(spark, folder, gone=spark.range(90).withColumnRenamed("id", "guid")) == 3 and N.current(spark, folder).count() == 10
+    assert N.expire(spark, folder, keep=1) > 0 and N.numbers(spark, folder) == [3] and N.current(spark, folder).count() == 10
+    with pytest.raises(N.Conflict):
+        N._commit(spark, folder, 3, {})
+    assert N.merge(spark, folder, gone=N.current(spark, folder)) == 4 and N.current(spark, folder).isEmpty()
+    assert N.merge(spark, folder, spark.createDataFrame([(None, "n"), (1, "x")], "guid long, v string")) == 5
+    assert N.merge(spark, folder, spark.createDataFrame([(None, "m")], "guid long, v string")) == 6 and sorted(r.v for r in N.current(spark, folder).collect()) == ["m", "x"]
+
+
 def test_snapshots_are_never_rewritten(spark, tmp_path):
     folder = str(tmp_path / "t")
     with pytest.raises(LookupError):
@@ -52,8 +102,24 @@ def test_recognition(spark, tmp_path):
     images = spark.createDataFrame([("k", "fr", n, b"image") for n in (1, 2, 3)], "source_key string, language string, page int, content binary")
     block = {"block_id": "x", "type": "heading", "box": [0, 0, 500, 1000], "words": [{"t": "Chapitre", "box": [0, 0, 10, 10]}]}
     reader = P.JsonRecogniser(lambda image, prompt, schema: "```json\n" + json.dumps({"blocks": [block]}) + "\n```")
-    out = jobs.recognise(spark, images, reader, str(tmp_path), 2)
-    assert sorted((r.page, r.blocks[0].text, r.blocks[0].id) for r in out.collect()) == [(2, "Chapitre", "p0002_b001"), (3, "Chapitre", "p0003_b001")]
+    folder = str(tmp_path / "docs")
+    assert jobs.recognise(spark, images, reader, folder, 2) == {"recognised": 2, "failed": 0}
+    read = lambda: sorted((r.page, r.blocks[0].text, r.blocks[0].id) for r in S.read_page_json(spark, folder).collect())
+    assert read() == [(2, "Chapitre", "p0002_b001"), (3, "Chapitre", "p0003_b001")]
+
+    def other(image, prompt, schema):
+        if image == b"bad":
+            raise OSError("no picture")
+        (tmp_path / "asked").mkdir(exist_ok=True)
+        (tmp_path / "asked" / str(len(list((tmp_path / "asked").iterdir())))).write_text("")
+        return json.dumps({"blocks": [block | {"words": [{"t": "Autre", "box": [0, 0, 10, 10]}]}]})
+
+    assert jobs.recognise(spark, images, P.JsonRecogniser(other), folder, 2) == {"recognised": 0, "failed": 0} and not (tmp_path / "asked").exists()  # nothing is asked twice
+    assert jobs.recognise(spark, images, P.JsonRecogniser(other), folder, 3, force=True) == {"recognised": 1, "failed": 0}
+    assert [t for _, t, _ in read()] == ["Chapitre", "Autre"]  # force replaces
+    worse = images.withColumn("content", F.when(F.col("page") == 1, F.lit(b"bad")).otherwise(F.col("content")))
+    assert jobs.recognise(spark, worse, P.JsonRecogniser(other), folder, attempts=1) == {"recognised": 0, "failed": 1} and len(read()) == 2
+    assert jobs.upload(spark, folder, str(tmp_path / "p"), str(tmp_path / "s")) == {"insert": 2} and jobs.upload(spark, folder, str(tmp_path / "p"), str(tmp_path / "s")) == {}
     tool = P.ToolRecogniser(lambda image, prompt, t: [{"type": "text"}, {"type": "tool_use", "name": t["name"], "input": {"blocks": [block]}}])
     assert P.recognise_pages(images, tool).count() == 3
     empty = P.JsonRecogniser(lambda image, prompt, schema: '{"blocks": []}')
