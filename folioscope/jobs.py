@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import ids
 from .operators import answer, chunking, structure, sync
+from .operators import translation as T
+from .plans import prompts
 from .plans import providers as P
 from .plans.session import session, written
 from .sources import pages as S
@@ -120,6 +123,38 @@ def translate(spark: SparkSession, units: DataFrame, cache: str, call: Callable)
     return units.join(stored(spark, cache, "id string, translated string"), "id", "left")
 
 
+def translate_source(spark: SparkSession, folder: str, source_language: str, languages: list[str], call: Callable[[dict], dict], terms: str = "", start: int = 1, end: int | None = None, force: bool = False, attempts: int = 4) -> dict[str, dict[str, int]]:
+    """Page documents of a window in other languages, beside the source's; gives translated and failed pages by language.
+
+    Pages that a language has already stay and aren't asked for, unless ``force``.  A page goes to the model with the end of the
+    page before it.  Each language is committed by itself, pages before the manifest; ``index`` has a row for each page, with
+    blocks, words, the least scale of its type, blocks that lost marks, and blocks without a translation.
+    """
+    if bad := [x for x in languages if x == source_language]:
+        raise ValueError(f"a book isn't translated into its own language: {bad}")
+    key = ["source_key", "page"]
+    everything = S.read_page_json(spark, folder).filter(F.col("language") == source_language)
+    window = (F.col("page") >= start) if end is None else F.col("page").between(start, end)
+    asked = T.requests(everything).filter(window)
+    out = {}
+    for language in languages:
+        manifest = f"{folder}/translated-manifest/{language}"
+        todo, pages = asked, everything.filter(window)
+        if not force and S.there(spark, manifest):
+            done = spark.read.schema("source_key string, page int, at timestamp").parquet(manifest).select(*key).distinct()
+            todo, pages = todo.join(done, key, "left_anti"), pages.join(done, key, "left_anti")
+        prompt = prompts.TRANSLATE.format(source=answer.language_name(source_language), target=answer.language_name(language), terms=terms)
+        texts = written(P.translate_units(todo, call, prompt, attempts), "texts")  # models are asked once
+        failed = texts.filter("error IS NOT NULL").select(*key).distinct()
+        made = written(T.translated_pages(pages.join(failed, key, "left_anti"), texts.filter("error IS NULL"), language), "translated")
+        S.write_page_json(made, folder)
+        index = sync.translated_index(made).join(made.select("source_key", "language", "page", "printed_page_number", "marks_lost", F.size("missing").alias("missing")), ["source_key", "language", "page"])
+        N.merge(spark, f"{folder}/translated-index", index.withColumn("guid", ids.page_id(F.col("source_key"), F.col("language"), F.col("page"))))
+        made.select(*key, F.current_timestamp().alias("at")).write.mode("append").parquet(manifest)
+        out[language] = {"translated": made.count(), "failed": failed.count()}
+    return out
+
+
 def ask(spark: SparkSession, pages: str, chunks: str, question: str, provider: str = "offline", **flags) -> dict:
     """One question's reply."""
     p = N.current(spark, pages)

@@ -139,6 +139,37 @@ def translate_missing(units: DataFrame, cache: DataFrame, translate: Callable[[l
     return known.select("id", "text", "translated").mapInPandas(run, known.select("id", "text", "translated").schema)
 
 
+def translate_units(pages: DataFrame, translate: Callable[[dict], dict], prompt: str, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``source_key, page, previous_context, units`` to ``source_key, page, id, source, translated, error``: a request for each page, and one more for blocks it left out.
+
+    ``translate`` gets ``prompt``, ``page``, ``previous_context`` and ``blocks``, and gives ``translations`` with ``id`` and ``text``.
+    Replies to ids that weren't asked for, and blank ones, count for nothing.  A page whose request fails to the end has ``error``.
+    """
+
+    def ask(row, todo: list[dict]) -> dict[str, str]:
+        payload = {"prompt": prompt, "page": int(row.page), "previous_context": row.previous_context or "", "blocks": todo}
+        wanted = {u["id"] for u in todo}
+        got = with_retry(lambda: translate(payload), attempts, sleep=sleep).get("translations", [])
+        return {t["id"]: t["text"].strip() for t in got if t.get("id") in wanted and (t.get("text") or "").strip()}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for row in f.itertuples():
+                units = [{k: (list(v) if k == "section_path" and v is not None else v) for k, v in u.items()} for u in row.units]
+                done, error = {}, None
+                try:
+                    for _ in range(2):
+                        if todo := [u for u in units if u["id"] not in done]:
+                            done |= ask(row, todo)
+                except Exception as e:  # noqa: BLE001  whatever a model may raise
+                    error = f"{type(e).__name__}: {e}"[:300]
+                rows += [(row.source_key, row.page, u["id"], u["text"], done.get(u["id"]), error) for u in units]
+            yield pd.DataFrame(rows, columns=["source_key", "page", "id", "source", "translated", "error"])
+
+    return pages.select("source_key", "page", "previous_context", "units").mapInPandas(run, "source_key string, page int, id string, source string, translated string, error string")
+
+
 # ---------------------------------------------------------------- recognition
 
 
