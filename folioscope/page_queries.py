@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import unicode
 from .functions import text as T
+from .operators import anchors as A
 from .operators import chunking, layout, lookups, markup, outline, structure, sync, translation
-from .oracle import _CLASS, _UUID, SQL
+from .oracle import _CLASS, _HEADINGS, _UUID, SQL
 from .queries import _documents, _word_boxes, query, table
 from .sources import pages as P
+from .sources.pages import html_headings
 
 # ---------------------------------------------------------------- page documents
 
@@ -489,3 +491,47 @@ g AS (SELECT *, coalesce(lead(takes) OVER (PARTITION BY page ORDER BY ord), FALS
 m AS (SELECT *, (ord % 7 = 3 AND NOT coalesce(takes, FALSE)) OR gives AS own FROM g)
 SELECT page, ord, text, round((CASE WHEN takes THEN ord - 1 ELSE ord END) % 10 * 0.09 + 0.05 + CASE WHEN own THEN 0 ELSE 0.004 END, 4)::DOUBLE AS x, round(ord // 10 * 0.03 + 0.05, 4)::DOUBLE AS y,
   CASE WHEN own THEN 'recogniser' ELSE 'pdf_text_layer' END AS bbox_source FROM m"""
+
+
+# ---------------------------------------------------------------- anchors
+
+
+@query
+def anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of the pages, some letters garbled, found again in the pages' texts: paragraphs are pages, tags end lines."""
+    html = table(spark, d, "pages").select(F.col("page_id").alias("doc"), "html")
+    parts = html.select("doc", F.posexplode(F.split("html", "</p>")).alias("page", "text")).withColumn("text", F.regexp_replace("text", "<[^>]*>", "\n"))
+    titles = html_headings(table(spark, d, "pages")).select(F.col("page_id").alias("doc"), "idx", F.translate("title", "oe", "0c").alias("title"))
+    return A.spans(A.anchors(parts, titles, 500)).select("doc", "idx", F.md5("title").alias("title_md5"), "page", "off", "score", "end_page", "end_off")
+
+
+_FOLDED = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+_GRAMS = "CASE WHEN length({0}) > 0 THEN list_distinct(list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr({0}, i, 3))) ELSE [] END"
+# the chain: each candidate after the best of those before it, then back from the greatest sum
+SQL["anchors"] = rf"""WITH RECURSIVE titles AS (
+  SELECT doc, idx, translate(title, 'oe', '0c') AS title FROM {_HEADINGS}
+), lines AS (
+  SELECT doc, page, line, sum(length(line) + 1) OVER (PARTITION BY doc, page ORDER BY i) - length(line) - 1 AS off
+  FROM (SELECT doc, page, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
+    SELECT doc, page, string_split(regexp_replace(text, '<[^>]*>', chr(10), 'g'), chr(10)) AS ls FROM (SELECT page_id AS doc, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS page FROM (SELECT page_id, string_split(html, '</p>') AS ps FROM pages))))
+), t AS (
+  SELECT doc, idx, {_GRAMS.format("f")} AS g FROM (SELECT doc, idx, {_FOLDED.format("title")} AS f FROM titles)
+), x AS (
+  SELECT doc, page, off, {_GRAMS.format("f")} AS g FROM (SELECT doc, page, off, {_FOLDED.format("line")} AS f FROM lines)
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, off, idx) - 1 AS nr, count(*) OVER (PARTITION BY doc) AS n
+  FROM (SELECT t.doc, idx, page, off, 2000 * len(list_intersect(t.g, x.g)) // (len(t.g) + len(x.g)) AS score FROM t JOIN x ON t.doc = x.doc AND len(t.g) > 0 AND len(x.g) > 0) WHERE score >= 500
+), dp AS (
+  SELECT DISTINCT doc, 0::BIGINT AS step, n, []::STRUCT(nr BIGINT, idx BIGINT, page BIGINT, off BIGINT, score BIGINT, key BIGINT, prev BIGINT)[] AS s FROM c
+  UNION ALL
+  SELECT doc, step + 1, n, list_append(s, {{'nr': nr, 'idx': idx, 'page': page, 'off': off, 'score': score, 'key': (score + ceil(coalesce(top, 0) / 1000000.0)) * 1000000 - nr, 'prev': CASE WHEN top IS NULL THEN -1 ELSE ceil(top / 1000000.0) * 1000000 - top END}})
+  FROM (SELECT dp.doc, dp.step, dp.n, dp.s, c.nr, c.idx, c.page, c.off, c.score,
+    list_max(list_transform(list_filter(dp.s, lambda p: p.idx < c.idx AND (p.page < c.page OR (p.page = c.page AND p.off < c.off))), lambda p: p.key)) AS top FROM dp JOIN c ON c.doc = dp.doc AND c.nr = dp.step)
+), done AS (
+  SELECT doc, s, list_max(list_transform(s, lambda p: p.key)) AS top FROM dp WHERE step = n
+), back AS (
+  SELECT doc, s, s[(ceil(top / 1000000.0) * 1000000 - top)::BIGINT + 1] AS p FROM done
+  UNION ALL SELECT doc, s, s[p.prev + 1] FROM back WHERE p.prev >= 0
+)
+SELECT doc, idx, md5(title) AS title_md5, page, off, score, lead(page) OVER w AS end_page, lead(off) OVER w AS end_off
+FROM (SELECT b.doc, t.idx, t.title, p.page::INT AS page, p.off::INT AS off, p.score::INT AS score FROM back b JOIN titles t ON t.doc = b.doc AND t.idx = b.p.idx) WINDOW w AS (PARTITION BY doc ORDER BY page, off)"""
