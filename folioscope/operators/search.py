@@ -73,6 +73,12 @@ def or_query(question: str) -> str:
     return " OR ".join(words) or question
 
 
+def or_queries(question: Column) -> Column:
+    """:func:`or_query` of a column."""
+    words = F.filter(F.transform(F.split(question, "(?U)\\s+"), lambda w: F.btrim(w, F.lit(string.punctuation))), lambda w: w != "")
+    return F.when(F.size(words) > 0, F.array_join(words, " OR ")).otherwise(question)
+
+
 def terms_of(queries: DataFrame) -> DataFrame:
     """``query_id, term``: the distinct terms of each question; one of stop words alone has none. The operator of an or-query is a stop word."""
     words = queries.select("query_id", F.explode(L.tokens(F.col("text"))).alias("word")).filter(~F.col("word").isin(*L.STOP)).distinct()

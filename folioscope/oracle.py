@@ -117,6 +117,12 @@ SQL: dict[str, str] = {
   SELECT query_id, guid, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, max(rank) FILTER (WHERE list = 0) AS dense_rank, max(rank) FILTER (WHERE list = 1) AS keyword_rank, min(list * 1000 + rank) AS first FROM lists GROUP BY ALL
 ) SELECT query_id, guid, round(rrf_score, 9) AS rrf_score, dense_rank, keyword_rank, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first, guid)::INT AS rank FROM fused) WHERE rank <= 20""",
+    "hybrid_pools": f"""WITH lists AS (
+  SELECT query_id, guid, rank, 0 AS list FROM ({_dense('vec_id IN (SELECT item_id FROM benchmark)', 'c.vec_id IN (SELECT doc_id FROM documents)')}) UNION ALL SELECT query_id, guid, rank, 1 FROM {_keyword(20)}
+), fused AS (
+  SELECT query_id, guid, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, max(rank) FILTER (WHERE list = 0) AS dense_rank, max(rank) FILTER (WHERE list = 1) AS keyword_rank, min(list * 1000 + rank) AS first FROM lists GROUP BY ALL
+) SELECT query_id, guid, round(rrf_score, 9) AS rrf_score, dense_rank, keyword_rank, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first, guid)::INT AS rank FROM fused) WHERE rank <= 5""",
     "rrf_multi_query": f"""WITH fused AS (
   SELECT query_id // 4 AS question, guid, sum(1.0::DOUBLE / (60 + rank) ORDER BY query_id) AS rrf_score, min(query_id * 1000 + rank) AS first, count(*) AS n_lists FROM {_keyword(20)} GROUP BY ALL
 ) SELECT question AS query_id, guid, round(rrf_score, 9) AS rrf_score, n_lists, rank FROM (

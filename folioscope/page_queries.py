@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import unicode
 from .functions import text as T
 from .operators import anchors as A
-from .operators import chunking, layout, lookups, markup, outline, structure, sync, translation
+from .operators import chunking, layout, lookups, markup, outline, search, structure, sync, translation
 from .oracle import _CLASS, _HEADINGS, _UUID, SQL
 from .queries import _documents, _word_boxes, query, table
 from .sources import pages as P
@@ -245,7 +245,7 @@ def _sized_lines(spark, d):
     """Lines of documents as typeset: every seventh is large, and so is a line after one of those in documents of even number."""
     l = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "text"))  # noqa: E741
     large = (F.col("i") % 7 == 0) | ((F.col("i") % 7 == 1) & (F.col("doc") % 2 == 0))
-    return l.select("doc", F.floor(F.col("i") / 5).cast("int").alias("page"), F.col("i").alias("line"), F.when(large, 16.04).otherwise(10.02).alias("size"), F.substring("text", 1, 60).alias("text"))
+    return l.select("doc", F.floor(F.col("i") / 5).cast("int").alias("page"), F.col("i").alias("line"), F.when(large, 16.04).otherwise(10.02).alias("size"), "text")
 
 
 @query
@@ -255,7 +255,7 @@ def font_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["font_headings"] = r"""WITH l AS (SELECT doc_id AS doc, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-s AS (SELECT doc, i, i // 5 AS page, t[1:60] AS text, (i % 7 = 0) OR (i % 7 = 1 AND doc % 2 = 0) AS big FROM l),
+s AS (SELECT doc, i, i // 5 AS page, t AS text, (i % 7 = 0) OR (i % 7 = 1 AND doc % 2 = 0) AS big FROM l),
 z AS (SELECT doc, big, sum(length(text)) AS chars, min(i) AS first FROM s GROUP BY ALL),
 y AS (SELECT doc, big AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY chars DESC, first) AS k FROM z) WHERE k = 1),
 h AS (SELECT s.doc, s.page, CASE WHEN i % 7 = 1 AND (i - 1) // 5 = page THEN i - 1 ELSE i END AS g, string_agg(text, ' ' ORDER BY i) AS title FROM s JOIN y USING (doc) WHERE big AND NOT body GROUP BY ALL),
@@ -535,3 +535,63 @@ SQL["anchors"] = rf"""WITH RECURSIVE titles AS (
 )
 SELECT doc, idx, md5(title) AS title_md5, page, off, score, lead(page) OVER w AS end_page, lead(off) OVER w AS end_off
 FROM (SELECT b.doc, t.idx, t.title, p.page::INT AS page, p.off::INT AS off, p.score::INT AS score FROM back b JOIN titles t ON t.doc = b.doc AND t.idx = b.p.idx) WINDOW w AS (PARTITION BY doc ORDER BY page, off)"""
+
+
+# ---------------------------------------------------------------- operators by themselves
+
+
+@query
+def marked_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's words as a block: of seven the last two of a kept language, every ninth raised, all on one line."""
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    one = lambda w, i: F.struct(w.alias("text"), F.when(i % 7 >= 5, "sa").otherwise("en").alias("lang"), F.when(i % 9 == 8, "sup").otherwise("normal").alias("style"), F.struct(F.lit(0.1).alias("y"), F.lit(0.02).alias("h")).alias("bbox"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(markup.mark_source(F.transform(words, one))).alias("marked_md5"))
+
+
+SQL["marked_sources"] = r"""WITH w AS (
+  SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i, len(ws) AS n FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS ws FROM conversations)
+), m AS (
+  SELECT conv_id, turn, i, CASE WHEN i % 7 = 5 THEN '[[' || w || CASE WHEN i + 1 = n THEN ']]' ELSE '' END WHEN i % 7 = 6 THEN w || ']]' WHEN i % 9 = 8 THEN '<sup>' || w || '</sup>' ELSE w END AS x FROM w
+)
+SELECT c.conv_id, c.turn, md5(replace(coalesce(t, ''), chr(173), '')) AS marked_md5 FROM conversations c LEFT JOIN (SELECT conv_id, turn, string_agg(x, ' ' ORDER BY i) AS t FROM m GROUP BY ALL) USING (conv_id, turn)"""
+
+
+@query
+def markup_html(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose paragraphs are marked, as HTML."""
+    t = F.replace(F.replace("html", F.lit("<p>"), F.lit("[[")), F.lit("</p>"), F.lit("]]"))
+    return table(spark, d, "pages").select("page_id", F.md5(unicode.markup_html_column(t)).alias("html_md5"))
+
+
+SQL["markup_html"] = r"""SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(html, '<p>', '[['), '</p>', ']]'), chr(173), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\[\[(.+?)\]\]', '<i>\1</i>', 'gs')) AS html_md5 FROM pages"""
+
+
+@query
+def even_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' words as pages, in even parts of at most forty."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("title"), F.lit(1).alias("level"), F.lit(0).alias("start_page"), (chunking.whitespace_tokens(F.col("text")) - 1).alias("end_page"))
+    return structure.split_oversized(rows.filter("end_page >= 0"), even=True)
+
+
+SQL["even_sections"] = f"""SELECT doc, level, CASE WHEN n > 1 THEN title || ' (part ' || (k + 1) || '/' || n || ')' ELSE title END AS title, (k * size)::INT AS start_page, (CASE WHEN k = n - 1 THEN words ELSE (k + 1) * size END - 1)::INT AS end_page
+FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, ceil(words / n::DOUBLE)::BIGINT AS size FROM (SELECT *, ceil(words / 40.0)::BIGINT AS n FROM (SELECT doc_id AS doc, source AS title, 1 AS level, len(regexp_extract_all(text, '{_CLASS}'))::INT AS words FROM documents) WHERE words > 0)))"""
+
+
+@query
+def fixed_contents(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' headings as a table of contents by hand, every third left out after ends are found."""
+    h = html_headings(table(spark, d, "pages")).select(F.col("page_id").alias("doc"), "idx", "title", (2 * F.col("idx") + 1).alias("page"), (F.col("idx") % 3 != 1).alias("keep"))
+    n = h.groupBy("doc").agg((F.max("page") + 4).alias("n_pages"))
+    return structure.fixed_sections(h.join(n, "doc"), F.col("n_pages")).select("doc", "idx", "title", "start", "end_page")
+
+
+SQL["fixed_contents"] = f"""SELECT doc, idx, title, start, end_page FROM (
+  SELECT doc, idx, title, start, greatest(coalesce(lead(start) OVER (PARTITION BY doc ORDER BY idx) - 1, max(start) OVER (PARTITION BY doc) + 4), start)::INT AS end_page FROM {_HEADINGS}) WHERE idx % 3 <> 1"""
+
+
+@query
+def or_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", search.or_queries(F.col("text")).alias("or_query"))
+
+
+SQL["or_queries"] = r"""SELECT item_id, coalesce(array_to_string(nullif(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda w: w <> ''), []), ' OR '), text) AS or_query FROM benchmark"""

@@ -143,6 +143,16 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
 
 
+@query
+def hybrid_pools(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search's best five, from pools of the size that it chooses itself."""
+    chunks = _documents(spark, d).join(_vectors(spark, d).select("guid", "embedding"), "guid", "left")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    v = _vectors(spark, d)
+    q = items.join(v, items.query_id == v.guid).select("query_id", F.col("embedding").alias("vector"))
+    return search.hybrid_search(chunks, q, _terms(spark, d), 5).select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
+
+
 @query
 def rrf_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """Four sub-questions to a question, searched in one batch and fused."""
