@@ -1,4 +1,4 @@
-"""Jobs from the command line: ``python -m folioscope.jobs chunks|upload|recognise|translate|ask ...``.
+"""Jobs from the command line: ``python -m folioscope.jobs recognise|translate|upload|chunks|ask|run-all ...``.
 
 Tables are snapshots in folders.  Models come from a provider by name; the offline ones need no network.
 """
@@ -162,26 +162,59 @@ def ask(spark: SparkSession, pages: str, chunks: str, question: str, provider: s
     return answer.ask(spark, corpus, question, P.providers(provider), answer.Flags(**flags)).reply()
 
 
+def run_all(spark: SparkSession, images: str, folder: str, pages: str, sources: str, chunks: str, source_language: str, languages: list[str], recogniser: str = "offline", translator: str = "offline", provider: str = "offline", tokenizer: str | None = None) -> dict[str, dict]:
+    """Recognition, translation, upload and chunks, one after the other; each does what is missing alone."""
+    return {
+        "recognise": recognise(spark, S.page_images(spark, images), P.by_name(P.RECOGNISERS, recogniser)(), folder),
+        "translate": translate_source(spark, folder, source_language, languages, P.by_name(P.TRANSLATORS, translator)),
+        "upload": upload(spark, folder, pages, sources, chunks),
+        "chunks": build_chunks(spark, pages, chunks, provider, tokenizer=tokenizer),
+    }
+
+
+def _recognise(spark: SparkSession, images: str, recogniser: str, **options) -> dict[str, int]:
+    return recognise(spark, S.page_images(spark, images), P.by_name(P.RECOGNISERS, recogniser)(), **options)
+
+
+def _translate(spark: SparkSession, translator: str, terms: str | None, **options) -> dict[str, dict[str, int]]:
+    return translate_source(spark, call=P.by_name(P.TRANSLATORS, translator), terms=T.read_terms(spark, terms).first()["terms"] if terms else "", **options)
+
+
+#: Options of each command: required ones end in "!", those with numbers in "#", lists in "*", switches in "?".
+OPTIONS = {
+    "recognise": (_recognise, recognise.__doc__, "images! folder! recogniser start# end# force?"),
+    "translate": (_translate, translate_source.__doc__, "folder! source-language! languages* translator terms start# end# force?"),
+    "upload": (upload, upload.__doc__, "folder! pages! sources! chunks"),
+    "chunks": (build_chunks, build_chunks.__doc__, "pages! chunks! provider budget# tokenizer"),
+    "ask": (ask, ask.__doc__, "pages! chunks! provider question. hybrid? n#"),
+    "run-all": (run_all, run_all.__doc__, "images! folder! pages! sources! chunks! source-language! languages* recogniser translator provider tokenizer"),
+}
+DEFAULTS = {"recogniser": "offline", "translator": "offline", "provider": "offline", "start": 1, "end": None, "budget": chunking.BUDGET, "n": 5}
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="folioscope.jobs", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    one = commands.add_parser("chunks", help=build_chunks.__doc__)
-    two = commands.add_parser("upload", help=upload.__doc__)
-    three = commands.add_parser("ask", help=ask.__doc__)
-    for p in (one, three):
-        p.add_argument("--provider", default="offline")
-    for p in (one, two, three):
-        p.add_argument("--pages", required=True)
-    for p in (one, three):
-        p.add_argument("--chunks", required=True)
-    one.add_argument("--budget", type=int, default=chunking.BUDGET)
-    two.add_argument("--folder", required=True)
-    two.add_argument("--sources", required=True)
-    three.add_argument("question")
-    three.add_argument("--hybrid", action="store_true")
-    three.add_argument("-n", type=int, default=5)
+    for command, (_, doc, options) in OPTIONS.items():
+        p = commands.add_parser(command, help=doc.splitlines()[0].replace("%", "%%"))
+        for option in options.split():
+            name = option.rstrip("!#*?.")
+            known = {"default": DEFAULTS.get(name)}
+            match option.removeprefix(name):
+                case ".":
+                    p.add_argument(name)
+                case "?":
+                    p.add_argument(f"--{name}", action="store_true")
+                case "#":
+                    p.add_argument(f"--{name}", type=int, **known)
+                case "*":
+                    p.add_argument(f"--{name}", nargs="+", required=True)
+                case "!":
+                    p.add_argument(f"--{name}", required=True)
+                case _:
+                    p.add_argument(f"--{name}", **known)
     got = vars(parser.parse_args(args))
-    job = {"chunks": build_chunks, "upload": upload, "ask": ask}[got.pop("command")]
+    job = OPTIONS[got.pop("command")][0]
     print(json.dumps(job(session("job"), **got), ensure_ascii=False, default=str))
 
 

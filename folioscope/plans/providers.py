@@ -271,3 +271,36 @@ def recognise_pages(images: DataFrame, recogniser: Recogniser, prompt: str = pro
     found = images.select("source_key", "language", F.col("page").cast("int").alias("page"), "content").mapInPandas(run, "source_key string, language string, page int, blocks string, error string")
     found = found.withColumn("blocks", F.from_json("blocks", prompts.PAGE_BLOCKS))
     return found if keep_errors else found.drop("error")
+
+
+@dataclass(frozen=True)
+class LineRecogniser:
+    """The offline recogniser: a page is UTF-8 text, each line a paragraph, its words side by side in a grid."""
+
+    def recognise(self, image: bytes, prompt: str, schema: dict) -> dict:
+        lines = [line.split() for line in image.decode("utf-8", "replace").replace("\0", "").splitlines()]
+        lines = [words for words in lines if words]
+        step = 1000 // max(len(lines), 1)
+        blocks = []
+        for y, words in enumerate(lines):
+            wide = 1000 // len(words) or 1
+            boxes = [[y * step, min(x * wide, 999), y * step + step, min(x * wide + wide, 1000)] for x in range(len(words))]
+            blocks.append({"block_id": f"l{y + 1}", "type": "paragraph", "box": [y * step, 0, y * step + step, 1000], "words": [{"t": w, "box": b} for w, b in zip(words, boxes, strict=True)]})
+        return {"blocks": blocks}
+
+
+def echo(payload: dict) -> dict:
+    """The offline translator: each text as it came."""
+    return {"translations": [{"id": b["id"], "text": b["text"]} for b in payload["blocks"]]}
+
+
+#: Models by name, as jobs name them; what is added here is known to all commands.
+RECOGNISERS: dict[str, Callable[[], Recogniser]] = {"offline": LineRecogniser}
+TRANSLATORS: dict[str, Callable[[dict], dict]] = {"offline": echo}
+OCR: dict[str, Callable[[], Ocr]] = {"offline": LineOcr}
+
+
+def by_name(registry: dict, name: str):
+    if name not in registry:
+        raise ValueError(f"unknown provider {name!r}: one of {', '.join(sorted(registry))}")
+    return registry[name]

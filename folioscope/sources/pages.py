@@ -141,6 +141,13 @@ def cached_readings(files: DataFrame, cache: DataFrame, read: Callable[[bytes],
     return old.unionByName(missing.select("path", "length", "content").mapInPandas(run, "path string, length long, reading string"))
 
 
+def page_images(spark: SparkSession, folder: str) -> DataFrame:
+    """``source_key, language, page, content`` of files ``<language>/<source key>/page_<number>.*``."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*/*/page_*")
+    part = lambda k: F.url_decode(F.regexp_extract("path", "([^/]+)/([^/]+)/page_0*([0-9]+)[^/]*$", k))
+    return files.select(part(2).alias("source_key"), part(1).alias("language"), part(3).cast("int").alias("page"), "content")
+
+
 def pages_to_do(spark: SparkSession, start: int, end: int, done: DataFrame, force: bool = False) -> DataFrame:
     """Pages from ``start`` to ``end`` that aren't done yet; all if forced."""
     wanted = spark.range(start, end + 1).select(F.col("id").cast("int").alias("page"))

@@ -185,3 +185,26 @@ def test_display(spark):
     df = spark.createDataFrame([("a **b**",), (None,)], "t string")
     assert [r.h for r in df.select(display.markdown_column(F.col("t")).alias("h")).collect()] == ["<p>a <b>b</b></p>", None]
     assert answer.language_name("uk") == "Ukrainian" and answer.language_name("xx") == "xx" and "Ukrainian" in answer.language_directive("UK")
+
+
+def test_commands(spark, tmp_path, capsys):
+    images = tmp_path / "images" / "fr" / "livre"
+    images.mkdir(parents=True)
+    (images / "page_0001.txt").write_text("Le pain nourrit\nle corps\n")
+    (images / "page_0002.txt").write_text("L'eau est bonne")
+    at = {x: str(tmp_path / x) for x in ("images", "folder", "pages", "sources", "chunks")}
+    every = [f"--{k}={v}" for k, v in at.items()]
+
+    def run(*args):
+        jobs.main(list(args))
+        return json.loads(capsys.readouterr().out.splitlines()[-1])
+
+    whole = ["run-all", *every, "--source-language=fr", "--languages", "en", "de"]
+    assert run(*whole) == {"recognise": {"recognised": 2, "failed": 0}, "translate": {"en": {"translated": 2, "failed": 0}, "de": {"translated": 2, "failed": 0}}, "upload": {"insert": 6}, "chunks": {"chunks": 6, "removed": 0}}
+    assert run(*whole) == {"recognise": {"recognised": 0, "failed": 0}, "translate": {"en": {"translated": 0, "failed": 0}, "de": {"translated": 0, "failed": 0}}, "upload": {}, "chunks": {"chunks": 0, "removed": 0}}
+    assert run("recognise", every[0], every[1], "--start=2", "--force") == {"recognised": 1, "failed": 0}
+    assert run("translate", every[1], "--source-language=fr", "--languages", "en", "--force", "--end=1") == {"en": {"translated": 1, "failed": 0}}
+    assert run("upload", *every[1:]) == {} and run("chunks", every[2], every[4]) == {"chunks": 0, "removed": 0}
+    assert run("ask", every[2], every[4], "--hybrid", "--n=2", "Le pain?")["chunks_used"] == 2
+    with pytest.raises(ValueError, match="unknown provider"):
+        jobs.main(["recognise", every[0], every[1], "--recogniser=none"])
