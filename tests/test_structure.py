@@ -134,6 +134,23 @@ def test_snap():
     assert layout.snap(["a"], [box(0)], [], []) == [(box(0), "recogniser")]
 
 
+def test_snap_equal_ways_and_texts_without_keys():
+    box = lambda i: (i % 10 * 0.09 + 0.05, i // 10 * 0.03 + 0.05, 0.08, 0.02)
+    aside = lambda i: (round(box(i)[0] + 0.004, 4), *(round(v, 4) for v in box(i)[1:]))
+
+    def snapped(words, lacks):
+        kept = [i for i in range(len(words)) if i not in lacks]
+        return layout.snap(words, [box(i) for i in range(len(words))], [words[i] for i in kept], [aside(i) for i in kept])
+
+    # of two equal words the later is paired, although sums in another order differ in their last bit
+    got = snapped(["cbc", "cbc", "c", "c"], {0, 3})
+    assert got == [(box(0), "recogniser"), (aside(1), "pdf_text_layer"), (box(2), "recogniser"), (aside(2), "pdf_text_layer")]
+    # a text that folds to nothing is found by itself where the layer lacks its neighbour
+    got = snapped(["der", "ß", "der.", "Von"], {2})
+    assert [s for _, s in got] == ["pdf_text_layer", "pdf_text_layer", "recogniser", "pdf_text_layer"] and got[1][0] == aside(1)
+    assert [s for _, s in snapped(["ß", "ß", "von"], {1})] == ["pdf_text_layer", "recogniser", "pdf_text_layer"]
+
+
 def test_marked_source(spark):
     w = lambda t, lang="fr", style="normal", y=0.1: (t, lang, style, (0.0, y, 0.1, 0.02))
     words = [w("le"), w("yoga-", "sa"), w("sutra", "sa", y=0.2), w("et"), w("1", style="sup"), w("citta", "sa")]
