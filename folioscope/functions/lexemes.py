@@ -116,10 +116,24 @@ def vocabulary(counted: DataFrame) -> DataFrame:
     return stemmed(counted.select("word").distinct())
 
 
-def lexemes(rows: DataFrame) -> DataFrame:
-    """``guid, text`` to ``guid, term, tf``: how often each text has a term."""
-    counted = words(rows)
-    return counted.join(vocabulary(counted), "word").groupBy("guid", "term").agg(F.sum("n").alias("tf"))
+COMMON = 1 << 16  # words whose stems go to all tasks
+
+
+def occurrences(rows: DataFrame, *carry: str) -> DataFrame:
+    """``guid, text`` to ``guid, *carry, word``: a row for each word of a text, stop words apart."""
+    return rows.select("guid", *carry, F.explode(tokens(F.col("text"))).alias("word")).filter(~F.col("word").isin(*STOP))
+
+
+def lexemes(rows: DataFrame, *carry: str) -> DataFrame:
+    """``guid, text`` to ``guid, *carry, term, tf``: how often each text has a term.
+
+    The most frequent words' stems are found once and go to all tasks; other words, most of which stand in few texts, are
+    stemmed where they stand.  Texts are dealt by ``guid`` and counted there: occurrences and counts don't move.
+    """
+    each = occurrences(rows.select("guid", *carry, "text").repartition("guid"), *carry)
+    often = occurrences(rows).groupBy("word").agg(F.count(F.lit(1)).alias("times")).orderBy(F.desc("times"), "word").limit(COMMON)
+    named = each.join(F.broadcast(stemmed(often.select("word"), "known")), "word", "left")
+    return named.groupBy("guid", *carry, F.coalesce("known", stem()).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
 PREFIX = 5

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions import lexemes as L
 from ..functions import text as T
+from ..plans.session import written
 from . import dense
 from .dense import MAX_ROWS
 
 RRF_K = 60
 MAX_QUERIES = 10_000  # terms that filter words before they move
+PAIRS = 1 << 21  # pairs of texts and questions that a task counts, about
+SENT = 1 << 18  # words or terms of questions that go to all tasks
 
 
 def pool(n: int) -> int:
@@ -87,25 +90,41 @@ def terms_of(queries: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame, *carry: str) -> DataFrame:
     """``term, guid, tf`` and the chunks' columns ``carry``: an inverted index. Written bucketed by term, it serves many searches."""
-    index = L.lexemes(chunks).select("term", "guid", "tf")
-    return index.join(chunks.select("guid", *carry), "guid").select("term", "guid", "tf", *carry) if carry else index
+    return L.lexemes(chunks, *carry).select("term", "guid", "tf", *carry)
+
+
+def sent_rows(rows: DataFrame) -> DataFrame | None:
+    """Words or terms of questions, to go to all tasks: None if they are more than ``SENT``."""
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else None
+
+
+def by_text(texts: DataFrame, asked: DataFrame, each: int = 1) -> DataFrame:
+    """``texts`` dealt by ``guid``, so finely that a task has about ``PAIRS`` pairs of texts and questions (``each``: rows of a pair), however many partitions the session has."""
+    few = -(-texts.count() * asked.select("query_id").distinct().count() * each // PAIRS)
+    return texts.repartition(few, "guid") if few > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else texts.repartition("guid")
 
 
 def keyword_search(chunks: DataFrame | None, terms: DataFrame, k: int = 5, owner=None, language: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """``query_id, guid, text_rank, rank``: a tenth for each occurrence of a term, which is the cover density of alternatives.
 
     ``terms``: ``query_id, term``, as :func:`terms_of` gives them.  ``index``: postings to read instead of texts, with
-    ``owner`` and ``language`` where these are asked for.  A text's words move only if they may be terms.
+    ``owner`` and ``language`` where these are asked for.  Texts are dealt by ``guid`` and counted there, so that neither words
+    nor counts move, only each task's best; where the questions have too many words for that, words that may be terms move.
     """
-    asked = terms.select("query_id", "term")
+    asked = written(terms.select("query_id", "term"), "asked")
     if index is None:
+        texts = scoped(chunks, owner, language).select("guid", "text")
         known = [r[0] for r in asked.select("term").distinct().limit(MAX_QUERIES + 1).collect()]
-        found = L.words(scoped(chunks, owner, language).select("guid", "text"), L.may_have(known) if len(known) <= MAX_QUERIES else None)
-        met = found.join(L.vocabulary(found).join(asked, "term").select("query_id", "word"), "word")
+        may = L.may_have(known) if len(known) <= MAX_QUERIES else F.lit(True)
+        names = written(L.vocabulary(L.occurrences(texts).filter(may)).join(asked, "term").select("query_id", "word"), "names")
+        if (sent := sent_rows(names)) is not None:
+            counted = L.occurrences(by_text(texts, asked)).join(sent, "word").groupBy("guid", "query_id").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            counted = L.words(texts, may).join(names, "word").groupBy("guid", "query_id").agg(F.sum("n").alias("n"))
     else:
-        met = scoped(index, owner, language).join(asked, "term").withColumnRenamed("tf", "n")
-    counted = met.groupBy("query_id", "guid").agg((F.lit(0.1) * F.sum("n")).alias("text_rank"))
-    return top_per_query(counted, k, F.desc("text_rank"))
+        sent = sent_rows(asked)
+        counted = scoped(index, owner, language).join(asked if sent is None else sent, "term").groupBy("guid", "query_id").agg(F.sum("tf").alias("n"))
+    return top_per_query(counted.select("query_id", "guid", (F.lit(0.1) * F.col("n")).alias("text_rank")), k, F.desc("text_rank"))
 
 
 def rrf(lists: dict[str, DataFrame], k: int = RRF_K, top: int | None = None) -> DataFrame:
@@ -128,10 +147,10 @@ def rrf(lists: dict[str, DataFrame], k: int = RRF_K, top: int | None = None) ->
     return ranked.filter(F.col("rank") <= top) if top else ranked
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, terms: DataFrame, n: int = 5, dense_pool: int | None = None, keyword_pool: int | None = None, k: int = RRF_K, owner=None, language=None, index: DataFrame | None = None) -> DataFrame:
-    """Dense and keyword search, fused; pools of 0 mean the default. ``index``: postings for the keyword side."""
+def hybrid_search(chunks: DataFrame, queries: DataFrame, terms: DataFrame, n: int = 5, dense_pool: int | None = None, keyword_pool: int | None = None, k: int = RRF_K, owner=None, language=None, index: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Dense and keyword search, fused; pools of 0 mean the default. ``index``: postings for the keyword side; ``texts``: the chunks as they are before vectors are joined to them, so that texts needn't move in that join."""
     dense = dense_search(chunks, queries, dense_pool or pool(n), owner, language)
-    keyword = keyword_search(chunks, terms, keyword_pool or pool(n), owner, language, index)
+    keyword = keyword_search(chunks if texts is None else texts, terms, keyword_pool or pool(n), owner, language, index)
     return rrf({"dense": dense, "keyword": keyword}, k, n)
 
 

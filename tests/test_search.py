@@ -1,10 +1,13 @@
 """Fusion, reranking, overrides, expansion, context: hand-made lists with known results."""
 
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioscope.functions import lexemes
 from folioscope.operators import search
 
 
@@ -130,3 +133,42 @@ def test_expansion_keeps_chunks_without_a_parent_apart(spark):
 def test_of_several_overrides_the_highest_holds(spark):
     by_hand = spark.createDataFrame([("g1", 0.1, "x"), ("g1", 0.7, "y")], "guid string, manual_rank_score double, manual_rank_reason string")
     assert [r.manual_rank_score for r in search.override(ranked(spark, ["g1"]), by_hand).collect()] == [0.7]
+
+
+def _dealt_by(df):
+    """The columns by which a plan deals rows out."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {tuple(re.findall(r"(\w+)#\d+", x)) for x in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)}
+
+
+def test_texts_are_counted_where_they_are_dealt(spark, monkeypatch):
+    """Neither occurrences of words nor counts of pairs move; rare words' stems are found where they stand."""
+    texts = [(i, "o", "en", f"running runs w{i}ing cats the cat word{i % 3}s") for i in range(40)]
+    chunks = spark.createDataFrame(texts, "guid long, owner string, language string, text string")
+    terms = search.terms_of(spark.createDataFrame([(1, "cat run"), (2, "word1s w7ing")], "query_id long, text string"))
+    found = search.keyword_search(chunks, terms, 50)
+    assert _dealt_by(found) == {("guid",), ("query_id",)} and found.count() == 40 + 13
+    assert _dealt_by(search.postings(chunks, "language")) == {("guid",), ("word",)}
+    every = sorted(map(tuple, search.postings(chunks, "owner").collect()))
+    monkeypatch.setattr(lexemes, "COMMON", 1)
+    assert sorted(map(tuple, search.postings(chunks, "owner").collect())) == every
+    monkeypatch.setattr(search, "SENT", 0)
+    assert sorted(map(tuple, search.keyword_search(chunks, terms, 50).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_postings_of_texts_that_share_a_guid(spark):
+    """Each text's words count with its own owner, as in a search of texts."""
+    chunks = spark.createDataFrame([(1, "a", "en", "cat cat"), (1, "b", "en", "cat"), (2, "a", "en", "dog")], "guid long, owner string, language string, text string")
+    terms = search.terms_of(spark.createDataFrame([(1, "cat")], "query_id long, text string"))
+    index = search.postings(chunks, "owner")
+    for owner in ("a", "b", None):
+        by_text = [tuple(r) for r in search.keyword_search(chunks, terms, owner=owner).collect()]
+        assert by_text and [tuple(r) for r in search.keyword_search(None, terms, owner=owner, index=index).collect()] == by_text
+
+
+def test_hybrid_search_reads_texts_apart(spark):
+    docs = spark.createDataFrame([(i, "cat " * i) for i in range(1, 6)], "guid long, text string")
+    chunks = docs.join(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 4)], "guid long, embedding array<double>"), "guid", "left")
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vector array<double>")
+    terms = search.terms_of(spark.createDataFrame([(1, "cats")], "query_id long, text string"))
+    assert sorted(map(str, search.hybrid_search(chunks, q, terms, texts=docs).collect())) == sorted(map(str, search.hybrid_search(chunks, q, terms).collect()))
