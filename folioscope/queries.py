@@ -135,22 +135,24 @@ def keyword_phrases(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search: the vector of a question's number stands for its embedding; documents without a vector are found by words alone."""
-    chunks = _documents(spark, d).join(_vectors(spark, d).select("guid", "embedding"), "guid", "left")
+    docs = _documents(spark, d)
+    chunks = docs.join(_vectors(spark, d).select("guid", "embedding"), "guid", "left")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     v = _vectors(spark, d)
     q = items.join(v, items.query_id == v.guid).select("query_id", F.col("embedding").alias("vector"))
-    out = search.hybrid_search(chunks, q, _terms(spark, d), 20, 20, 20)
+    out = search.hybrid_search(chunks, q, _terms(spark, d), 20, 20, 20, texts=docs)
     return out.select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
 
 
 @query
 def hybrid_pools(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search's best five, from pools of the size that it chooses itself."""
-    chunks = _documents(spark, d).join(_vectors(spark, d).select("guid", "embedding"), "guid", "left")
+    docs = _documents(spark, d)
+    chunks = docs.join(_vectors(spark, d).select("guid", "embedding"), "guid", "left")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     v = _vectors(spark, d)
     q = items.join(v, items.query_id == v.guid).select("query_id", F.col("embedding").alias("vector"))
-    return search.hybrid_search(chunks, q, _terms(spark, d), 5).select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
+    return search.hybrid_search(chunks, q, _terms(spark, d), 5, texts=docs).select("query_id", "guid", _nine("rrf_score"), "dense_rank", "keyword_rank", "rank")
 
 
 @query
