@@ -48,23 +48,49 @@ def positions(chunks: DataFrame, known: list[str] | None = None) -> DataFrame:
 def phrase_search(chunks: DataFrame, queries: DataFrame, k: int = 5, owner=None, language: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """``query_id, guid, text_rank, rank``. ``index``: ``guid, term, pos`` as :func:`positions` gives it (and columns that the filters need), to read instead of texts."""
     asked = written(clauses(queries), "clauses")
+    texts = names = None
     if index is None:
+        texts = search.scoped(chunks, owner, language).select("guid", "text")
         known = [r[0] for r in asked.select("term").distinct().limit(search.MAX_QUERIES + 1).collect()]
-        index = positions(search.scoped(chunks, owner, language), known if len(known) <= search.MAX_QUERIES else None)
+        may = L.may_have(known) if len(known) <= search.MAX_QUERIES else F.lit(True)
+        names = search.sent_rows(written(L.vocabulary(L.occurrences(texts).filter(may)).join(asked.select("term").distinct(), "term").select("word", "term"), "names"))
+        if names is None:
+            index = positions(texts, known if len(known) <= search.MAX_QUERIES else None)
+        else:
+            texts = search.by_text(texts, asked, 8)
     else:
         index = search.scoped(index, owner, language)
-    hits = written(index.select("guid", "term", "pos").join(asked, "term").select("query_id", "guid", "grp", "item", "negated", "off", "n", "pos").distinct(), "hits")
+    sent = search.sent_rows(asked)
+    sent = asked if sent is None else sent
+
+    def met(of: DataFrame | None = None) -> DataFrame:
+        """Where texts have terms of the items: all, or those of ``guid, whole``, with the number of items where their alternative is whole. A text's rows stay where its ``guid`` is dealt."""
+        rows, more = (index if names is None else texts), [] if of is None else ["whole"]
+        rows = rows if of is None else rows.join(of, "guid")
+        if names is not None:
+            rows = rows.select("guid", *more, F.posexplode(L.tokens(F.col("text"))).alias("pos", "word")).join(names, "word")
+        rows = rows.select("guid", "term", "pos", *more).distinct().join(sent, "term")
+        items = F.lit(0)
+        if of is not None:
+            rows = rows.filter(F.exists("whole", lambda x: x["query_id"] == F.col("query_id")))
+            items = F.get(F.filter("whole", lambda x: (x["query_id"] == F.col("query_id")) & (x["grp"] == F.col("grp"))), F.lit(0))["items"]
+        return rows.select("query_id", "guid", "grp", "item", "negated", "off", "n", "pos", items.alias("items"))
+
+    def standing(hits: DataFrame) -> DataFrame:
+        """An item stands where all its terms do, each at its place."""
+        return hits.groupBy(*text, "grp", "item", "negated", "n", "items", (F.col("pos") - F.col("off")).alias("anchor")).agg(F.count(F.lit(1)).alias("have"), F.min("pos").alias("start"), F.max("pos").alias("end")).filter("have = n")
+
     text = ["query_id", "guid"]
-    # an item stands where all its terms do, each at its place
-    found = hits.groupBy(*text, "grp", "item", "negated", "n", (F.col("pos") - F.col("off")).alias("anchor")).agg(F.count(F.lit(1)).alias("have"), F.min("pos").alias("start"), F.max("pos").alias("end")).filter("have = n")
     wanted = asked.groupBy("query_id", "grp").agg(F.count_distinct(F.when(~F.col("negated"), F.col("item"))).alias("items"))
-    matched = found.groupBy(*text, "grp").agg(F.count_distinct(F.when(~F.col("negated"), F.col("item"))).alias("met"), F.max("negated").alias("spoilt"))
-    matched = matched.join(wanted, ["query_id", "grp"]).filter("NOT spoilt AND met = items").select(*text, "grp", "items")
-    held = written(found.filter("NOT negated").join(matched, [*text, "grp"]).select(*text, "grp", "item", "items", "start", "end"), "found")
+    matched = standing(met()).groupBy(*text, "grp").agg(F.count_distinct(F.when(~F.col("negated"), F.col("item"))).alias("met"), F.max("negated").alias("spoilt"))
+    matched = matched.join(F.broadcast(wanted) if sent is not asked else wanted, ["query_id", "grp"]).filter("NOT spoilt AND met = items")
+    # then the places in texts that match a query, which are far fewer; what follows stays where a text is dealt
+    whole = written(matched.groupBy("guid").agg(F.collect_set(F.struct("query_id", "grp", "items")).alias("whole")), "whole")
+    hits = written(met(whole), "hits").repartition("guid")
+    held = standing(hits).filter("NOT negated AND items IS NOT NULL")
     # for each end of an item the last start from which its alternative is whole: the least of its items' last starts
-    names = held.select(*text, "grp", F.col("item").alias("want")).distinct()
     single = held.filter("items = 1").select(*text, F.col("end").alias("e"), F.col("start").alias("s"))
-    several = held.filter("items > 1").join(names, [*text, "grp"])
+    several = held.filter("items > 1").withColumn("wants", F.collect_set("item").over(Window.partitionBy(*text, "grp"))).withColumn("want", F.explode("wants")).drop("wants")
     so_far = Window.partitionBy(*text, "grp", "want").orderBy("end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = several.withColumn("last", F.max(F.when(F.col("item") == F.col("want"), F.col("start"))).over(so_far)).groupBy(*text, "grp", "end", "items").agg(F.min("last").alias("s"), F.count_distinct(F.when(F.col("last").isNotNull(), F.col("want"))).alias("met"))
     ends = single.unionByName(last.filter("met = items").select(*text, F.col("end").alias("e"), "s")).groupBy(*text, "e").agg(F.max("s").alias("s"))
@@ -91,16 +117,17 @@ def build_postings(chunks: DataFrame, folder: str) -> str:
     block: ``bucket, term, block, top, postings array<struct<guid, tf, ...>>``, stored by bucket and in order of term and block.
     """
     carried = [c for c in ("owner", "language") if c in chunks.columns]
-    counted = written(L.lexemes(chunks), "lexemes")
-    texts = counted.groupBy("guid").agg(F.sum("tf").alias("length")).withColumn("size", F.floor(F.lit(2.0) * F.log2("length")).cast("long"))
+    terms = F.collect_list(F.struct("term", "tf", *carried)).alias("terms")
+    texts = L.lexemes(chunks, *carried).groupBy("guid").agg(terms, F.floor(F.lit(2.0) * F.log2(F.sum("tf"))).cast("long").alias("size"))
+    texts = written(texts, "texts")  # a text's counts stay together until its block is known
     parts = texts.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # 2 log2 of a text's length: 128 rows at most
-    placed = texts.join(F.broadcast(parts), "size").select("guid", ((F.col("size") + 1) * (1 << 40) + F.pmod(F.xxhash64("guid"), F.col("parts"))).alias("block"))
-    if carried:
-        placed = placed.join(chunks.select("guid", *carried), "guid")
-    rows = counted.join(placed, "guid").groupBy("term", "block").agg(F.max("tf").alias("top"), F.collect_list(F.struct("guid", "tf", *carried)).alias("postings"))
-    stored = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    block = ((F.col("size") + 1) * (1 << 40) + F.pmod(F.xxhash64("guid"), F.col("parts"))).alias("block")
+    each = texts.join(F.broadcast(parts), "size").select("guid", block, F.explode("terms").alias("t")).select("guid", "block", "t.*")
+    key = ["bucket", "term", "block"]  # dealt by ranges of it once, and grouped there
+    dealt = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartitionByRange(*key)
+    stored = dealt.groupBy(*key).agg(F.max("tf").alias("top"), F.collect_list(F.struct("guid", "tf", *carried)).alias("postings")).select("term", "block", "top", "postings", "bucket")
     stored.limit(0).write.parquet(f"{folder}/schema")
-    stored.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    stored.sortWithinPartitions(*key).write.partitionBy("bucket").parquet(f"{folder}/postings")
     return folder
 
 
@@ -119,7 +146,7 @@ def stored_search(spark: SparkSession, folder: str, terms: DataFrame, k: int = 5
     A query's bound in a block is the sum of its terms' greatest counts there.  The blocks with the greatest bounds are read
     first; then those whose bound reaches the last of the ``k`` ranks so found, since no other can hold a better text.
     """
-    k = min(k, search.MAX_ROWS)
+    k, terms = min(k, search.MAX_ROWS), written(terms.select("query_id", "term"), "terms")
     bounds, first = _first_blocks(spark, folder, terms)
     scored = written(_scored(spark, folder, terms, first, owner, language), "scored")
     w = Window.partitionBy("query_id").orderBy(F.desc("n"))
@@ -148,8 +175,9 @@ def _other_blocks(bounds: DataFrame, first: DataFrame, last: DataFrame) -> DataF
 
 
 def _scored(spark: SparkSession, folder: str, terms: DataFrame, blocks: DataFrame, owner, language: str | None) -> DataFrame:
-    wanted = _asked(terms).join(blocks.select("query_id", "block"), "query_id")
-    met = stored_postings(spark, folder).select("bucket", "term", "block", "postings").join(wanted, ["bucket", "term", "block"])
+    asked, wanted = _asked(terms), written(blocks.select("query_id", "block"), "wanted")
+    sides = [(x if (sent := search.sent_rows(x)) is None else sent) for x in (asked, wanted)]  # so that stored postings don't move
+    met = stored_postings(spark, folder).select("bucket", "term", "block", "postings").join(sides[0], ["bucket", "term"]).join(sides[1], ["query_id", "block"])
     each = met.select("query_id", F.explode("postings").alias("p"))
     for name, value in (("owner", owner), ("language", language)):
         if value is not None:

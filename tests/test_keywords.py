@@ -1,5 +1,7 @@
 """Phrases, required and excluded words, cover density; stored postings against the scan."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,14 @@ def test_no_texts_no_terms(spark, tmp_path):
     assert K.stored_search(spark, folder, search.terms_of(asked(spark, "alpha"))).isEmpty()
     folder = K.build_postings(texts(spark, *CORPUS), str(tmp_path / "q"))
     assert K.stored_search(spark, folder, search.terms_of(asked(spark, "the", None))).isEmpty()
+
+
+def test_places_stay_where_texts_are_dealt(spark, monkeypatch):
+    chunks = texts(spark, *CORPUS)
+    q = spark.createDataFrame([(1, '"alpha beta" or delta gamma'), (2, "alpha -delta"), (3, "beta gamma")], "query_id long, text string")
+    found = K.phrase_search(chunks, q, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*(grp|item|want|term|word)#", plan)
+    want = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(K.search, "SENT", 0)  # as where questions have too many words to be sent
+    assert sorted(map(tuple, K.phrase_search(chunks, q, 5).collect())) == want
