@@ -80,3 +80,42 @@ def test_single_partners_in_large_clusters(spark, n, changed, least):
     found = [sorted(r[1]) for r in got if len(r[1]) > 1]
     assert all(len(x) == 2 and x[0] % 2 == 0 and x[1] == x[0] + 1 for x in found)  # no false links
     assert len(found) >= least * (n // 2)
+
+
+@pytest.mark.parametrize("how", [neardup.Join(k=4, trees=1, leaf=4, depth=0), neardup.Join(k=4, trees=1, leaf=400, depth=2), neardup.Join(k=4)])
+def test_no_link_is_lost_whatever_the_forest_is(spark, docs_of, how):
+    """Single partners at 0.87 and chains in one cluster of texts at 0.76, copies, and texts of one shingle."""
+    r = random.Random(7)
+    core, texts = [f"c{i}" for i in range(258)], []
+    for p in range(60):
+        own = [f"p{p}x{j}" for j in range(40)]
+        texts += [" ".join(core + [f"p{p}k{k}y{j}" if abs(j - 19.5) < 4 else w for j, w in enumerate(own)]) for k in (0, 1)]
+    for p in range(6):
+        texts.append(near(r, texts[p], 3))
+        texts += [near(r, texts[-1], 7) for _ in range(4)] + [texts[-1]]
+    texts += ["one two", "one two", "one", None]
+    got = {x.doc_id: x for x in neardup.near_duplicates(spark, docs_of(texts), how).collect()}
+    s, comp = brute(dict(enumerate(texts)), 4)
+    assert {i: (len(s[i]), comp[i], comp[i] == i) for i in comp} == {i: (x.n_shingles, x.component_id, x.kept) for i, x in got.items()}
+
+
+def test_large_postings_in_several_blocks(spark):
+    """Long texts of one cluster that fill more than a block: links across blocks are found, and none else."""
+    core, rows = [f"c{i}" for i in range(9000)], []
+    for p in range(40):
+        own = [f"p{p}x{j}" for j in range(1400)]
+        for k in (0, 1):
+            rows.append((2 * p + k, " ".join(core + [f"p{p}k{k}y{j}" if j < 300 else w for j, w in enumerate(own)])))
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), neardup.Join(k=4, trees=1, leaf=4, depth=0, slack=-1.0)).collect()
+    assert {x.doc_id: x.component_id for x in got} == brute(dict(rows), 4)[1]
+
+
+def test_bitmaps_never_rule_out_a_link():
+    r = neardup.np.random.default_rng(3)
+    a = neardup.np.unique(r.integers(0, 1 << 63, 3000, dtype=neardup.np.uint64))
+    for n in (1, 5, 50, 900, 3000):
+        x = a[:n]
+        y = neardup.np.sort(neardup.np.concatenate((x[n // 10 :], r.integers(0, 1 << 63, n // 10, dtype=neardup.np.uint64))))
+        both = neardup.bitmaps(neardup.np.concatenate((x, y)), neardup.np.array([0, n, n + len(y)]))
+        linked = 100 * len(neardup.np.intersect1d(x, y)) >= 80 * len(neardup.np.union1d(x, y))
+        assert linked and neardup._may_link(neardup.np.array([n]), both[:1], neardup.np.array([len(y)]), both[1:], 80)[0]
