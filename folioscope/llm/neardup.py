@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_buffers, carried, drop_staged, hashed_words, mix, pieces, staged, text_bytes, windows
+from .common import binary_buffers, carried, drop_staged, hashed_words, mix, pieces, staged, text_bytes, tidied, windows
 from .components import components
 
 COORDINATES = 96
@@ -100,7 +100,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     share = min(1 << 20, -(-SAMPLE * (1 << 20) // max(docs.count(), 1)))
     few = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < share))
-    counts = few.select(text_bytes().alias("bytes")).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = few.select(text_bytes().alias("bytes")).mapInArrow(tidied(run), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow().column(0).to_numpy()
     return np.ascontiguousarray(top[::-1]).view(np.uint64)
 
@@ -135,7 +135,7 @@ def sketched(docs: DataFrame, how: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _signed(fp[0]), _signed(fp[1]), pa.array(sigs, pa.binary()), pa.array(first, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "prefix", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, prefix binary, bits binary")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, prefix binary, bits binary")
 
 
 # ---------------------------------------------------------------- the forest
@@ -162,7 +162,7 @@ def _roots(reps: DataFrame, how: Join) -> DataFrame:
             nodes = [_children(np.full(len(ids), t + 1, np.uint64), sig, 0) for t in range(how.trees)]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(nodes)), pa.array(np.tile(ids, how.trees))], names=["node", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "node long, id long")
+    return reps.select("id", "sig").mapInArrow(tidied(run), "node long, id long")
 
 
 def _branches(members: DataFrame, how: Join) -> DataFrame:
@@ -193,7 +193,7 @@ def _branches(members: DataFrame, how: Join) -> DataFrame:
             nodes, pivots = pa.concat_arrays([_signed(node), none.cast(pa.int64())]), pa.concat_arrays([pa.nulls(len(row), pa.int64()), pa.array(a[alike])])
             yield pa.RecordBatch.from_arrays([nodes, pa.array(ids[every]), pa.array((left - take)[every].astype(np.int32)), pivots], names=["node", "id", "left", "a"])
 
-    return members.select("node", "id", "sig", "size", "left", "a", "pivot").mapInArrow(run, "node long, id long, left int, a long")
+    return members.select("node", "id", "sig", "size", "left", "a", "pivot").mapInArrow(tidied(run), "node long, id long, left int, a long")
 
 
 def _shared(spark: SparkSession, rows: DataFrame, key: str = "node", least: int = 2) -> DataFrame:
@@ -239,7 +239,7 @@ def _leaf_pairs(leaves: DataFrame, how: Join) -> DataFrame:
                     col.append(v[keep])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["a", "id"])
 
-    return leaves.select("members").mapInArrow(run, "a long, id long")
+    return leaves.select("members").mapInArrow(tidied(run), "a long, id long")
 
 
 # ---------------------------------------------------------------- the exact join
@@ -272,7 +272,7 @@ def _tokens(reps: DataFrame) -> DataFrame:
                 data, off = binary_buffers(batch.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data[off[0] : off[-1]].tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(off) // 8))], names=["token", "id"])
 
-    return reps.select("id", "prefix").mapInArrow(run, "token long, id long")
+    return reps.select("id", "prefix").mapInArrow(tidied(run), "token long, id long")
 
 
 def _posting_pairs(postings: DataFrame, how: Join) -> DataFrame:
@@ -298,7 +298,7 @@ def _posting_pairs(postings: DataFrame, how: Join) -> DataFrame:
                 b.append(np.maximum(ids[i[maybe]], ids[j[maybe]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return postings.select("members").mapInArrow(run, "a long, b long")
+    return postings.select("members").mapInArrow(tidied(run), "a long, b long")
 
 
 def _blocks(rows: DataFrame, cost, *fields: str) -> DataFrame:
@@ -359,7 +359,7 @@ def _block_rivals(blocks: DataFrame, how: Join) -> DataFrame:
                     put(count, a=np.concatenate(a), b=np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) if c else pa.nulls(0, pa.int64()) for c in out.values()], names=list(out))
 
-    return blocks.mapInArrow(run, "token long, id long, a long, b long")
+    return blocks.mapInArrow(tidied(run), "token long, id long, a long, b long")
 
 
 def _block_links(blocks: DataFrame, how: Join) -> DataFrame:
@@ -391,7 +391,7 @@ def _block_links(blocks: DataFrame, how: Join) -> DataFrame:
                     b.append(np.maximum(found, i[r]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (a, b)], names=["a", "b"])
 
-    return blocks.select("left", "right").mapInArrow(run, "a long, b long")
+    return blocks.select("left", "right").mapInArrow(tidied(run), "a long, b long")
 
 
 # ---------------------------------------------------------------- confirming
@@ -409,7 +409,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("bytes"))
     wanted = _likely(rows, ids, "id").join(ids, "id", "left_semi")  # texts move only if their id may be wanted
-    return wanted.dropDuplicates(["id", "bytes"]).mapInArrow(run, "id long, shingles binary, wide binary")
+    return wanted.dropDuplicates(["id", "bytes"]).mapInArrow(tidied(run), "id long, shingles binary, wide binary")
 
 
 def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -440,7 +440,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
@@ -458,7 +458,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 # ---------------------------------------------------------------- the whole
@@ -557,7 +557,7 @@ def _with_sketch(reps: DataFrame) -> DataFrame:
                 low = (_matrix(batch.column(2)) >> np.uint32(13)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in low], pa.binary())], names=["id", "n", "sketch"])
 
-    return reps.select("id", "n", "sig").mapInArrow(run, "id long, n long, sketch binary")
+    return reps.select("id", "n", "sig").mapInArrow(tidied(run), "id long, n long, sketch binary")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, how: Join = Join()) -> DataFrame:

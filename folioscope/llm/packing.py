@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 from .tokens import id_type, token_rows
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,4 +62,4 @@ def packed(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
-    return placed.mapInArrow(cut, schema)
+    return placed.mapInArrow(tidied(cut), schema)

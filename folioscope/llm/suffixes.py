@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_buffers, carried, drop_staged, hashed_words, long_windows, mix, partitions, pieces, powers, staged, text_bytes, windows
+from .common import binary_buffers, carried, drop_staged, hashed_words, long_windows, mix, partitions, pieces, powers, staged, text_bytes, tidied, windows
 
 LENGTH = 50
 GRAM = 5
@@ -118,7 +118,7 @@ def _sequences(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "th", "n_words", "fp1", "fp2", "keys", "contexts", "places"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), text_bytes().alias("bytes"))
-    return rows.mapInArrow(run, "doc_id long, th long, n_words long, fp1 long, fp2 long, keys binary, contexts binary, places binary")
+    return rows.mapInArrow(tidied(run), "doc_id long, th long, n_words long, fp1 long, fp2 long, keys binary, contexts binary, places binary")
 
 
 def _fingerprint(w: np.ndarray) -> tuple[int, int]:
@@ -139,7 +139,7 @@ def _spread(rows: DataFrame) -> DataFrame:
             own = [np.repeat(batch.column(j).to_numpy(), each) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat[0], flat[1], *own, flat[2])], names=["k1", "k2", "doc_id", "th", "at"])
 
-    return rows.select("doc_id", "th", "keys", "contexts", "places").mapInArrow(run, "k1 long, k2 long, doc_id long, th long, at int")
+    return rows.select("doc_id", "th", "keys", "contexts", "places").mapInArrow(tidied(run), "k1 long, k2 long, doc_id long, th long, at int")
 
 
 _ORDER = ("k1", "k2", "doc_id", "th", "at")
@@ -189,7 +189,7 @@ def _neighbours(spark: SparkSession, rows: DataFrame, near: bool) -> DataFrame:
             yield flagged([np.asarray([h]) for h in held], before, None, top, True)
 
     order = rows.repartitionByRange(max(partitions(spark), 1), *_ORDER).sortWithinPartitions(*_ORDER)
-    return order.select(*_ORDER).mapInArrow(run, _SORTED)
+    return order.select(*_ORDER).mapInArrow(tidied(run), _SORTED)
 
 
 def _settled(found: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _extended(docs: DataFrame, near: DataFrame, length: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return own.join(near, ["doc_id", "th"]).select("doc_id", "th", "bytes", "places").mapInArrow(run, "k1 long, k2 long, doc_id long, th long, at int")
+    return own.join(near, ["doc_id", "th"]).select("doc_id", "th", "bytes", "places").mapInArrow(tidied(run), "k1 long, k2 long, doc_id long, th long, at int")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:

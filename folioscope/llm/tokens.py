@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from .common import KEPT
+
 #: White space as the tokenizers' patterns see it (fixed values: the Unicode property White_Space).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space and what follows it up to white space; or white space but the last before a word; or white space.
@@ -106,6 +108,7 @@ class Encoder:
 
 
 _LOADED: dict[str, Encoder] = {}
+KEPT.append(_LOADED)
 
 
 def encoder(path: str) -> Encoder:
@@ -146,7 +149,7 @@ def token_rows(df, path: str, end_id: int, id_column: str = "doc_id", text: str
     from pyspark import TaskContext
     from pyspark.sql import functions as F
 
-    from .common import text_bytes
+    from .common import text_bytes, tidied
 
     def run(batches):
         enc = encoder(path)
@@ -162,7 +165,7 @@ def token_rows(df, path: str, end_id: int, id_column: str = "doc_id", text: str
             )
 
     rows = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text_bytes(text).alias("bytes"))
-    return rows.mapInArrow(run, "doc_id long, part long, start_in_part long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidied(run, keeps=True), "doc_id long, part long, start_in_part long, n_tokens long, ids binary")
 
 
 def id_type(path: str) -> np.dtype:
